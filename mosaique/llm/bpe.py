@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, texts_of
+from .pretokens import MemoEncoder
 
 #: Bytes of text that are encoded together.
 CHUNK_BYTES = 8 << 20
-#: Pre-tokens kept with their ids in each Python worker, and the most characters of one kept.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 48
 
 
 class RankQueue:
@@ -191,50 +190,24 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; ids of short pre-tokens are remembered, the first MEMO_ENTRIES of them."""
+    """Encodes texts by a vocabulary and the pattern that cuts them."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
+        self.vocabulary = vocabulary
+        self.encode = MemoEncoder(regex.compile(pattern).findall, self._pieces).encode
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return self.vocabulary.encode_pieces([piece.encode() for piece in pieces])
 
     @staticmethod
     @lru_cache(maxsize=2)
     def load(path: str, pattern: str) -> Encoder:
         return Encoder(Vocabulary.load(path), pattern)
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self.find(text) for text in texts]
-        memo = self.memo
-        new = list({word for found in words for word in found if word not in memo})
-        known = memo
-        if new:
-            ids = self.vocabulary.encode_pieces([word.encode("utf-8", "replace") for word in new])
-            fresh = dict(zip(new, ids, strict=True))
-            room = MEMO_ENTRIES - len(memo)
-            if room > 0:
-                memo.update([(w, i) for w, i in fresh.items() if len(w) <= MEMO_CHARS][:room])
-            fresh = {w: i for w, i in fresh.items() if w not in memo}
-            if fresh:
-                known = _Two(memo, fresh)
-        get = known.__getitem__
-        return [b"".join(map(get, found)) for found in words]
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.by_id.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-class _Two:
-    """Looks up in the memo, then among the pre-tokens of this batch that it does not hold."""
-
-    def __init__(self, memo: dict, fresh: dict):
-        self.memo, self.fresh = memo, fresh
-
-    def __getitem__(self, word: str) -> bytes:
-        found = self.memo.get(word)
-        return self.fresh[word] if found is None else found
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from pieces_of(batch, 1, CHUNK_BYTES)
