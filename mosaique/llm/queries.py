@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, token_counts, token_store
 from .common import fresh_path
 
 
@@ -28,9 +28,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-store")
+    files = token_store.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_store.read_tokens(spark, files, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op9_token_store": op9_token_store,
 }
 
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 from importlib.metadata import version
 
@@ -57,7 +58,7 @@ class Library:
         self.ids = self._by_pieces
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         hard = [i for i, x in enumerate(texts) if _FAR.search(x) or self.special and self.special.search(x)]
