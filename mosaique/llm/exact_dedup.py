@@ -94,8 +94,9 @@ def against(groups: DataFrame, docs: DataFrame, snapshot: Snapshot) -> DataFrame
     positive = stored(screen(groups, snapshot), "screened")
     old = snapshot.entries.select("digest", F.col("keep").alias("old_keep"), F.col("size").alias("old_size"))
     pairs = stored(positive.join(old, "digest").select("digest", F.col("keep").alias("new_keep"), "old_keep", "old_size"), "positives")
-    new_text = docs.join(pairs.select(F.col("new_keep").alias("row_key"), "digest"), "row_key").groupBy("digest").agg(F.first("row_text").alias("new_text"))
-    old_text = snapshot.docs.join(pairs.select(F.col("old_keep").alias("row_key"), "digest"), "row_key").groupBy("digest").agg(F.first("row_text").alias("old_text"))
+    # by merge at every size: how much moves then grows as the table does, and no side is broadcast
+    new_text = docs.join(pairs.select(F.col("new_keep").alias("row_key"), "digest").hint("merge"), "row_key").groupBy("digest").agg(F.first("row_text").alias("new_text"))
+    old_text = snapshot.docs.join(pairs.select(F.col("old_keep").alias("row_key"), "digest").hint("merge"), "row_key").groupBy("digest").agg(F.first("row_text").alias("old_text"))
     same = new_text.join(old_text, "digest").filter(F.col("new_text") == F.col("old_text")).select("digest")
     return pairs.join(same, "digest", "left_semi").select("digest", "old_keep", "old_size")
 
