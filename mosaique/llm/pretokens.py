@@ -35,10 +35,16 @@ class _Held:
 
 
 class MemoEncoder:
-    """find cuts a text into its pre-tokens; encode_pieces gives the ids of distinct ones as bytes."""
-
-    def __init__(self, find: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], list[bytes]]):
-        self.find, self.encode_pieces = find, encode_pieces
+    """find cuts a text into its pre-tokens; encode_pieces gives the ids of distinct ones as bytes. encode_words, if
+    given, does so for whole words, each with a space before it."""
+
+    def __init__(
+        self,
+        find: Callable[[str], list[str]],
+        encode_pieces: Callable[[list[str]], list[bytes]],
+        encode_words: Callable[[list[str]], list[bytes]] | None = None,
+    ):
+        self.find, self.encode_pieces, self.encode_words = find, encode_pieces, encode_words
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -57,8 +63,10 @@ class MemoEncoder:
         parts = [text.split(" ") for text in texts]
         heads = [part.pop(0) for part in parts]
         new = [word for word in set().union(*parts) if word not in memo and not _edge(word)]
-        groups = [self.find(" " + word) for word in new] + [self.find(head) for head in heads]
-        joined = self._distinct(groups)
+        if self.encode_words:
+            joined = self.encode_words(new) + self._distinct([self.find(head) for head in heads])
+        else:
+            joined = self._distinct([self.find(" " + word) for word in new] + [self.find(head) for head in heads])
         out: list[bytes] = []
         slow = []
         with _Held(memo, dict(zip(new, joined, strict=False))) as look:

@@ -54,15 +54,32 @@ class Library:
             return
         special = [x["content"] for x in made.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.memo = MemoEncoder(regex.compile(BYTE_LEVEL_PATTERN).findall, self._whole)
+        line = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.line = line[0] if len(line) == 1 else None
+        self.memo = MemoEncoder(regex.compile(BYTE_LEVEL_PATTERN).findall, self._whole, None if self.line is None else self._words)
         self.ids = self._by_pieces
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each. A line end before a space is a pre-token of its own with one id,
+        so words on lines of one text are encoded in one call and their ids cut at that id."""
+        lines = [word for word in words if "\n" not in word]
+        ids = array("I", self.tokenizer.encode_batch_fast(["\n".join([" " + word for word in lines])], add_special_tokens=False)[0].ids) if lines else array("I")
+        cuts = np.flatnonzero(np.frombuffer(ids, dtype=np.uint32) == self.line).tolist() if lines else []
+        raw, out, start = ids.tobytes(), {}, 0
+        for word, end in zip(lines, [*cuts, len(ids)] if lines else [], strict=True):
+            out[word] = raw[4 * start : 4 * end]
+            start = end + 1
+        rest = [word for word in words if word not in out]
+        out.update(zip(rest, self._whole([" " + word for word in rest]), strict=True))
+        return [out[word] for word in words]
+
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         hard = [i for i, x in enumerate(texts) if _FAR.search(x) or self.special and self.special.search(x)]
-        out = self.memo.encode([texts[i] for i in range(len(texts))] if not hard else [x for i, x in enumerate(texts) if i not in set(hard)])
+        away = set(hard)
+        out = self.memo.encode([x for i, x in enumerate(texts) if i not in away])
         for i, ids in zip(hard, self._whole([texts[i] for i in hard]), strict=True):
             out.insert(i, ids)
         return out
