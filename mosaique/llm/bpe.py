@@ -245,6 +245,24 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
     return rows.select(F.col(key), F.col(ids)).mapInArrow(run, f"key {kind}, text_bytes binary").withColumnRenamed("key", key)
 
 
+def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with n_tokens and ids (array of int) added; columns of these names are replaced."""
+    names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
+    at = names.index(text)
+    schema = docs.select(*names).schema.add("n_tokens", "long").add("ids", "array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.load(path, pattern)
+        for batch in batches:
+            for part in pieces_of(batch, at, CHUNK_BYTES // 2):
+                ids = encoder.encode(texts_of(part.column(at)))
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(ends), pa.int64()), lists], [*names, "n_tokens", "ids"])
+
+    return docs.select(*names).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes in one pass, so that ids need not leave the worker. Per row: the key, n_tokens,
     ids_sha256 and decoded_sha256 (lowercase hex)."""
