@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces_of, texts_of
 from .pretokens import MemoEncoder
@@ -249,7 +250,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     """docs with n_tokens and ids (array of int) added; columns of these names are replaced."""
     names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
     at = names.index(text)
-    schema = docs.select(*names).schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = docs.select(*names).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path, pattern)
