@@ -26,9 +26,11 @@ from .components import components
 from .shingles import minhashes, mix, node_of, shingle_sets
 
 #: Collections, minhashes in each, further minhashes that only sift candidates.
-U, R, SIFT = 13, 2, 32
-#: Of all U R + SIFT minhashes so many must agree: five standard deviations below what 0.8 gives.
-AGREE = 31
+U, R, SIFT = 13, 2, 64
+#: Of all U R + SIFT minhashes so many must agree: 4.5 standard deviations below what 0.8 gives.
+AGREE = 55
+#: Bytes kept of a set's minhashes: those of the collections whole, one byte of each other.
+KEPT = 4 * U * R + SIFT
 CHUNK_BYTES, BLOCK, RUN_BLOCK = 1 << 20, 64, 512
 _PAIRS = [(i, j) for i in range(U) for j in range(i + 1, U)]
 
@@ -42,7 +44,8 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             for part in pieces_of(batch, 1, CHUNK_BYTES):
                 sets = shingle_sets(*utf8_view(part.column(1)), words)
                 full = [s for s in sets if len(s)]
-                rows = iter(minhashes(full, U * R + SIFT))
+                found = minhashes(full, U * R + SIFT)
+                rows = iter(np.concatenate([found[:, : U * R].copy().view(np.uint8), found[:, U * R :].astype(np.uint8)], axis=1))
                 mins = [next(rows).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(mins, pa.binary())],
@@ -53,7 +56,13 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _mins(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), U * R + SIFT)
+    """Bytes of the minhashes, a row for each set."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), KEPT)
+
+
+def _marks(mins: np.ndarray) -> np.ndarray:
+    """One byte of each minhash."""
+    return np.concatenate([mins[:, : 4 * U * R : 4], mins[:, 4 * U * R :]], axis=1)
 
 
 def _table_keys(nodes: DataFrame) -> DataFrame:
@@ -63,7 +72,7 @@ def _table_keys(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                mins = _mins(part.column(1)).astype(np.uint64)
+                mins = _mins(part.column(1))[:, : 4 * U * R].copy().view(np.uint32).astype(np.uint64)
                 ids = part.column(0)
                 small = [mix(mins[:, R * c] << np.uint64(32) | mins[:, R * c + 1]) for c in range(U)]
                 keys = [mix(small[i] * np.uint64(0x9E3779B97F4A7C15) + small[j] + np.uint64(t + 1)).view(np.int64) for t, (i, j) in enumerate(_PAIRS)]
@@ -101,7 +110,7 @@ def _sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_mins(batch.column(0)) == _mins(batch.column(1))).sum(axis=1) >= AGREE
+                near = (_marks(_mins(batch.column(0))) == _marks(_mins(batch.column(1)))).sum(axis=1) >= AGREE
                 yield pa.RecordBatch.from_arrays([c for c in batch.columns[2:]], names).filter(pa.array(near))
 
     return sized.select("_m", "_l", *names).mapInArrow(run, pairs.schema)
@@ -144,7 +153,7 @@ def _adjacent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         names, of, counts = np.unique(component, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return None
-        low = mins.astype(np.uint8)
+        low = _marks(mins)
         rest = np.flatnonzero(of != counts.argmax())  # pairs inside the commonest component need no look
         found = []
         for i in range(0, len(rest), RUN_BLOCK):
