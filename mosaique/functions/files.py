@@ -34,7 +34,7 @@ def is_hidden(relative: Column) -> Column:
 def normal_path(path: Column) -> Column:
     """Separators, `.` parts, double and final separators do not count when paths are compared."""
     slashes = F.regexp_replace(path, r"\\", "/")
-    parts = F.regexp_replace(F.regexp_replace(slashes, r"(?<=/)(?:\./)+|/\.$", ""), r"/{2,}", "/")
+    parts = F.regexp_replace(F.regexp_replace(slashes, r"(?<=/)(?:\./)+|/\.$|^(?:\./)+", ""), r"/{2,}", "/")
     return F.when(parts == "/", parts).otherwise(F.regexp_replace(parts, "/$", ""))
 
 

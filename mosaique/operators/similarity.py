@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vector
 from ..functions.files import normal_path
@@ -47,7 +48,7 @@ def similarity_to(folder: DataFrame, query: list[float], column: str = "features
         return folder.filter(F.size(column) == len(query)).withColumn("similarity", vector.dot(F.col(column), values))
     names = folder.columns
     at, want = names.index(column), np.asarray(query, dtype=np.float64)
-    schema = folder.schema.add("similarity", "double") if "similarity" not in names else folder.schema
+    schema = StructType([*folder.schema.fields, StructField("similarity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

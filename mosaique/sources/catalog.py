@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import files
@@ -143,7 +144,7 @@ def contents(entries: DataFrame, column: str = "path") -> DataFrame:
                 part = batch.slice(i, 64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([read(p) for p in part.column(at).to_pylist()], pa.binary())], [*names, "content"])
 
-    return entries.mapInArrow(run, entries.schema.add("content", "binary"))
+    return entries.mapInArrow(run, StructType([*entries.schema.fields, StructField("content", BinaryType())]))
 
 
 def read_image(path: str) -> str:
