@@ -1,72 +1,16 @@
-"""What the operators share: the folder all executors see, written tables, Arrow text views."""
+"""What the operators share: written tables, Arrow text views."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
+from mosaique.storage import exists, forget, fresh_path, remove, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = os.environ.get("MOSAIQUE_TEST_SHARED")
-    if not own:
-        own = os.environ["MOSAIQUE_TEST_SHARED"] = tempfile.mkdtemp(prefix="mosaique-")
-    return f"file://{own}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at, fs = _hadoop(spark, path)
-    fs.delete(at, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _hadoop(spark, path)
-    return fs.exists(at)
-
-
-def _remove_late(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may be gone at exit
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    atexit.register(_remove_late, spark, path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_path = path
-    return back
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a stored table that nothing reads any more."""
-    if path := getattr(df, "stored_path", None):
-        remove(df.sparkSession, path)
+__all__ = ["exists", "forget", "fresh_path", "pieces_of", "remove", "shared_dir", "stored", "texts_of", "utf8_view"]
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -30,7 +30,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     where each text's rows begin; whether it has a letter. Runs of other characters count as one space."""
     lowered = [text.lower() for text in texts]
     lengths = np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts))
-    # each text stands between spaces, so that no n-gram of its words touches another text
+    # a space stands between texts
     chars = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
     letter = _letters()[chars]
     keep = letter.copy()
@@ -41,6 +41,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = rows[begins]
     chars, letter = np.where(letter, chars, np.uint32(32))[keep], letter[keep]
     has = np.diff(np.concatenate([[0], np.cumsum(letter)])[starts]) > 0
+    # more spaces end each text while n-grams are made, so that its last ones do not reach into the next
+    own = np.insert(np.ones(len(chars), dtype=bool), np.repeat(starts[1:], LONGEST - 1), False)
+    chars = np.insert(chars, np.repeat(starts[1:], LONGEST - 1), np.uint32(32))
     hashed = np.empty((len(chars), LONGEST), dtype=np.uint32)
     code = np.zeros(len(chars), dtype=np.uint32)
     for n in range(LONGEST):
@@ -48,7 +51,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = (code + later + np.uint32(n + 1)) * np.uint32(0x9E3779B1)
         code ^= code >> np.uint32(15)
         hashed[:, n] = (code * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)
-    return hashed, starts, has
+    return hashed[own], starts, has
 
 
 @dataclass
