@@ -62,31 +62,29 @@ class Ends:
             for i in part:
                 self.read[i] = ends[bisect.bisect_left(ends, self.mins[i]) : bisect.bisect_right(ends, self.maxs[i])]
 
-    def floor(self, value: int) -> int:
-        """The last end at or before a value; the low bound if none."""
-        a, b = self.bounds(value)
-        if a == b:
-            return a
-        i = self._at(value)
+    def _inside(self, i: int) -> list[int] | Ends:
+        """The ends of a bucket."""
         if i not in self.read:
             if self.counts[i] <= BUCKET_ENDS:
                 self.fetch({i})
             else:
                 self.read[i] = Ends(self.table.filter(f"end BETWEEN {self.mins[i]} AND {self.maxs[i]}"), self.mins[i] - 1, self.maxs[i])
-        ends = self.read[i]
+        return self.read[i]
+
+    def floor(self, value: int) -> int:
+        """The last end at or before a value; the low bound if none."""
+        a, b = self.bounds(value)
+        if a == b:
+            return a
+        ends = self._inside(self._at(value))
         return ends.floor(value) if isinstance(ends, Ends) else ends[bisect.bisect_right(ends, value) - 1]
 
     def after(self, value: int) -> int:
         """The first end after a value; the high bound if none."""
         i = self._at(value)
         if i >= 0 and self.maxs[i] > value:
-            self.floor(value)
-            ends = self.read.get(i)
-            if isinstance(ends, Ends):
-                return ends.after(value)
-            if ends is not None:
-                return ends[bisect.bisect_right(ends, value)]
-            return self.maxs[i]
+            ends = self._inside(i)
+            return ends.after(value) if isinstance(ends, Ends) else ends[bisect.bisect_right(ends, value)]
         return self.mins[i + 1] if i + 1 < len(self.mins) else self.high
 
 
