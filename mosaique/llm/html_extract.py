@@ -3,8 +3,8 @@
 Pages are scanned into blocks. Text inside an article or main element is the page's own, unless it stands in an
 element for menus, notices, adverts, forms or comments. Where a page has no such element, what its host repeats
 decides: the token streams of a host's pages are concatenated, a suffix array sorted to a fixed depth puts equal
-runs side by side, and tokens covered by runs that stand on two or more distinct pages are boilerplate; the
-unique runs between them stay.
+runs side by side, and blocks or parts of blocks covered by runs that stand on two or more distinct pages are
+boilerplate; the unique runs between them stay.
 """
 
 from __future__ import annotations
@@ -57,6 +57,18 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return out
 
 
+def _whole_runs(mask: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A block's covered stretches that are long runs themselves or the whole block; the end of a run that reaches
+    in from the block beside is the block's own."""
+    if mask.all():
+        return mask
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    out = np.zeros(len(mask), dtype=bool)
+    for start, end in edges.reshape(-1, 2).tolist():
+        out[start:end] = end - start >= run
+    return out
+
+
 def main_texts(pages: list[str]) -> list[str]:
     """The main text of each of some pages of one host."""
     parsed: list[list[Block]] = [blocks(page) for page in pages]
@@ -69,7 +81,7 @@ def main_texts(pages: list[str]) -> list[str]:
         if out[i] is None:
             kept, at = [], 0
             for block, tokens in zip(page, cut, strict=True):
-                unique = ~mask[at : at + len(tokens)]
+                unique = ~_whole_runs(mask[at : at + len(tokens)])
                 at += len(tokens)
                 if not block.noise and unique.any():
                     kept.append(" ".join(t for t, u in zip(tokens, unique.tolist(), strict=True) if u))
