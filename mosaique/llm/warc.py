@@ -51,16 +51,19 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lower = F.transform_keys("headers", lambda k, _: F.lower(k))
-    rows = records.withColumn("canonical", canonical_url(F.col("url"))).withColumn("headers", F.coalesce(lower, F.expr("cast(map() as map<string,string>)")))
+    rest = [c for c in records.columns if c not in ("status", "headers", "payload", "canonical", "source_id", "outcome")]
+    rows = records.select(*rest, "status", F.coalesce(lower, F.expr("cast(map() as map<string,string>)")).alias("headers"), "payload", canonical_url(F.col("url")).alias("canonical"))
     order = [F.col("canonical").asc_nulls_first(), F.col("captured").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
     usable = (F.col("record_type") == "response") & (F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("captured").isNotNull()
-    ranged = stored(rows.withColumn("_full", F.coalesce(usable, F.lit(False))).repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()), "warc-ranges")
-    # the join moves ids; what a response holds is fetched for the revisits that found one
-    slim = ranged.select("record_id", "record_type", "canonical", "captured", "_full", "_part", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
+    # the as-of join moves ids and validators; payloads are fetched for the revisits that found a response
+    slim = rows.select("record_id", "record_type", "canonical", "captured", F.coalesce(usable, F.lit(False)).alias("_full"), F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
+    slim = stored(slim.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()), "warc-ranges")
     response = F.when(F.col("_full"), F.struct("canonical", "captured", "record_id", "etag", "modified"))
     tails = slim.filter("_full").groupBy("_part").agg(F.max(F.struct("canonical", "captured", "record_id", "etag", "modified")).alias("tail")).collect()
     carried, last = [], None
-    for part, tail in [(i, dict((r["_part"], r["tail"]) for r in tails).get(i)) for i in range(partitions)]:
+    found = {r["_part"]: r["tail"] for r in tails}
+    for part in range(max([partitions - 1, *found]) + 1):
+        tail = found.get(part)
         carried.append((part, last))
         last = tail or last
     kind = "struct<canonical:string,captured:timestamp,record_id:string,etag:string,modified:string>"
@@ -73,27 +76,27 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.coalesce(F.col("modified") != F.col("_found.modified"), F.lit(False))
     )
     links = match.select("record_id", "canonical", "captured", F.col("_found.record_id").alias("source_id"), differ.alias("differ")).distinct()
-    keys = ["record_id", "canonical", "captured"]
-    sources = ranged.filter("_full").select(F.col("record_id").alias("source_id"), "canonical", F.col("status").alias("_s"), F.col("headers").alias("_h"), F.col("payload").alias("_p"))
+    links = stored(links, "warc-links")
+    sources = rows.filter(usable).select(F.col("record_id").alias("source_id"), "canonical", F.col("status").alias("_s"), F.col("headers").alias("_h"), F.col("payload").alias("_p"))
     wanted = links.filter("NOT differ").select("source_id", "canonical").distinct()
-    sources = sources.join(wanted, ["source_id", "canonical"]).dropDuplicates(["source_id", "canonical"])
-    joined = ranged.join(links, keys, "left").join(sources, ["source_id", "canonical"], "left")
-    good = (F.col("record_type") == "revisit") & F.col("source_id").isNotNull() & ~F.col("differ")
+    sources = sources.join(wanted, ["source_id", "canonical"], "left_semi").dropDuplicates(["source_id", "canonical"])
+    is_revisit = F.col("record_type").eqNullSafe("revisit")
+    joined = rows.filter(is_revisit).join(links, ["record_id", "canonical", "captured"], "left").join(sources, ["source_id", "canonical"], "left")
+    good = F.col("source_id").isNotNull() & ~F.col("differ")
     updates = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter("_h", lambda k, _: ~F.array_contains(F.map_keys(updates), k)), updates)
-    outcome = (
-        F.when(~F.col("record_type").eqNullSafe("revisit"), "full").when(F.col("source_id").isNull(), "no earlier response").when(F.col("differ"), "validators differ").otherwise("resolved")
-    )
-    rest = [c for c in records.columns if c not in ("status", "headers", "payload", "canonical", "source_id", "outcome")]
-    return joined.select(
+    outcome = F.when(F.col("source_id").isNull(), "no earlier response").when(F.col("differ"), "validators differ").otherwise("resolved")
+    revisits = joined.select(
         *rest,
         "canonical",
-        F.when(F.col("record_type") == "revisit", F.col("source_id")).alias("source_id"),
+        "source_id",
         outcome.alias("outcome"),
         F.when(good, F.col("_s")).otherwise(F.col("status")).alias("status"),
         F.when(good, merged).otherwise(F.col("headers")).alias("headers"),
         F.when(good, F.col("_p")).otherwise(F.col("payload")).alias("payload"),
     )
+    full = rows.filter(~is_revisit).select(*rest, "canonical", F.lit(None).cast("string").alias("source_id"), F.lit("full").alias("outcome"), "status", "headers", "payload")
+    return full.unionByName(revisits)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
