@@ -7,9 +7,11 @@ share a key if two of the collections agree, which at a similarity of 0.8 fails
 Sets that are equal are one node. In each bucket every node is held against the bucket's leader, its smallest
 node, so candidates grow with the number of rows, not with the square of a bucket. Verified links make
 components. A bucket whose nodes are all in one component needs no more. In the others, nodes of different
-components are compared by their minhashes in blocks, and what may be similar is verified on full sets, the
-members of the smaller component against blocks of the larger one. So no link that could join two components is
-left out, and links inside a component are never listed.
+components are compared by their minhashes in blocks. The largest component in a bucket is its hub: nodes that may
+be similar to one of the hub's are noted once, beside the hub, and of other pairs only those that are not both
+beside it. What stands beside a hub is then verified on full sets, against blocks of the hub's members and of what
+stands beside it too. So no link that could join two components is left out, and neither the links inside a
+component nor the pairs of a group are listed.
 """
 
 from __future__ import annotations
@@ -154,24 +156,39 @@ def _adjacent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         if len(names) < 2:
             return None
         low = _marks(mins)
-        rest = np.flatnonzero(of != counts.argmax())  # pairs inside the commonest component need no look
-        found = []
-        for i in range(0, len(rest), RUN_BLOCK):
-            a = rest[i : i + RUN_BLOCK]
-            for j in range(0, len(node), RUN_BLOCK):
-                b = np.arange(j, min(j + RUN_BLOCK, len(node)))
-                x, y = np.nonzero((of[a][:, None] != of[b]) & (np.minimum(n[a][:, None], n[b]) * 100 >= np.maximum(n[a][:, None], n[b]) * percent))
-                for k in range(0, len(x), 1 << 18):
-                    p, q = a[x[k : k + (1 << 18)]], b[y[k : k + (1 << 18)]]
-                    near = (low[p] == low[q]).sum(axis=1) >= AGREE
-                    found.append(np.stack([p[near], q[near]]))
-        if not sum(x.shape[1] for x in found):
-            return None
-        pairs = np.concatenate(found, axis=1)
-        p, q = pairs
+        first = np.unique(of, return_index=True)[1]
+        hub = max(range(len(names)), key=lambda c: (size[first[c]], names[c]))
+        common = counts.argmax()
+
+        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of rows that their components, sizes and minhashes let be similar."""
+            found = [np.zeros((2, 0), dtype=np.int64)]
+            for i in range(0, len(a), RUN_BLOCK):
+                for j in range(0, len(b), RUN_BLOCK):
+                    p, q = a[i : i + RUN_BLOCK], b[j : j + RUN_BLOCK]
+                    x, y = np.nonzero((of[p][:, None] != of[q]) & (np.minimum(n[p][:, None], n[q]) * 100 >= np.maximum(n[p][:, None], n[q]) * percent))
+                    for k in range(0, len(x), 1 << 18):
+                        u, v = p[x[k : k + (1 << 18)]], q[y[k : k + (1 << 18)]]
+                        good = (low[u] == low[v]).sum(axis=1) >= AGREE
+                        found.append(np.stack([u[good], v[good]]))
+            return tuple(np.concatenate(found, axis=1))
+
+        inside = np.flatnonzero(of == hub)
+        outside = np.flatnonzero(of != hub)
+        beside = np.unique(near(outside, inside)[0])
+        noted = np.zeros(len(node), dtype=bool)
+        noted[beside] = True
+        # pairs inside the commonest component need no look, and those of two noted nodes are seen to at the hub
+        p, q = near(outside[of[outside] != common], outside)
+        rest = ~(noted[p] & noted[q])
+        p, q = p[rest], q[rest]
         swap = (size[p] > size[q]) | ((size[p] == size[q]) & (component[p] > component[q]))
         p, q = np.where(swap, q, p), np.where(swap, p, q)  # q stands in the larger component
-        out = np.unique(np.stack([component[q], node[p]]), axis=1)
+        to = np.concatenate([np.full(len(beside), names[hub]), component[q]])
+        who = np.concatenate([node[beside], node[p]])
+        if not len(who):
+            return None
+        out = np.unique(np.stack([to, who]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["component", "node"])
 
     held = None
@@ -191,17 +208,19 @@ def _adjacent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _blocks(rows: DataFrame, count: DataFrame, name: str) -> DataFrame:
-    """Rows (component, node, members) as lists of about BLOCK by component; count has rows (component, rows)."""
+    """Rows (component, node, inner, members) as lists of about BLOCK by component; count has rows (component, rows)."""
     dealt = rows.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK)))
-    return dealt.groupBy("component", "block").agg(F.collect_list(F.struct("node", "members")).alias(name)).drop("block")
+    return dealt.groupBy("component", "block").agg(F.collect_list(F.struct("node", "inner", "members")).alias(name)).drop("block")
 
 
 def _verify_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between the nodes of two lists; one for each left node, as the right ones are one component."""
+    """Links between the nodes of two lists. One to an inner node is enough, as those are one component."""
     for batch in batches:
         for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets = [np.frombuffer(r["members"], dtype=np.uint64) for r in right]
             sizes = np.array([len(s) for s in sets])
+            names = np.array([r["node"] for r in right])
+            inner = np.array([r["inner"] for r in right])
             values, where = np.unique(np.concatenate(sets), return_inverse=True)
             order = np.argsort(where, kind="stable")
             owner = np.repeat(np.arange(len(sets)), sizes)[order]
@@ -214,9 +233,9 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
                 counts = first[at + 1] - first[at]
                 each = np.repeat(first[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 both = np.bincount(owner[each], minlength=len(sets))
-                good = np.flatnonzero(100 * both >= percent * (len(x) + sizes - both))
-                if len(good):
-                    links.append((r["node"], right[good[0]]["node"]))
+                good = (100 * both >= percent * (len(x) + sizes - both)) & (names != r["node"])
+                links += [(r["node"], b) for b in names[good & inner][:1].tolist()]
+                links += [(r["node"], b) for b in names[good & ~inner & (names > r["node"])].tolist()]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
@@ -265,9 +284,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     rows = rows.select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size"), "n", "mins").repartition(partitions, "key").sortWithinPartitions("key")
     beside = stored(rows.mapInArrow(lambda batches: _adjacent(batches, percent), "component long, node long").distinct(), "beside")
     if not beside.isEmpty():
-        left = _blocks(beside.join(sets, "node"), beside.groupBy("component").agg(F.count(F.lit(1)).alias("rows")), "left")
-        targets = beside.select("component").distinct()
-        held = named(targets.select(F.col("component").alias("node")), "node", "component").unionByName(groups.select("node", "component")).distinct().join(targets, "component")
+        per = beside.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+        left = _blocks(beside.join(sets, "node").withColumn("inner", F.lit(False)), per, "left")
+        alone = per.select(F.col("component").alias("node"), "component")
+        linked = groups.select("node", "component").join(per.select("component"), "component").select("node", "component")
+        held = alone.unionByName(linked).distinct().withColumn("inner", F.lit(True)).unionByName(beside.select("node", "component").withColumn("inner", F.lit(False)))
         right = _blocks(held.join(sets, "node"), held.groupBy("component").agg(F.count(F.lit(1)).alias("rows")), "right")
         found = left.join(right, "component").select("left", "right").mapInArrow(lambda batches: _verify_blocks(batches, percent), "a long, b long")
         late = stored(found, "links")
