@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
+from . import jpeg
 
 
 class Undecodable(ValueError):
@@ -142,17 +143,17 @@ def thumbnail_dims(width: int, height: int, size: int) -> tuple[int, int]:
     return max(1, int(f(width) / f(height) * f(size))), size
 
 
-def thumbnail(data: bytes | None, size: int) -> bytes:
-    """A PNG that fits a square."""
+def thumbnail(data: bytes | None, size: int, quality: int = 80) -> bytes:
+    """A JPEG that fits a square."""
     pixels = decode(data)
     width, height = thumbnail_dims(pixels.shape[1], pixels.shape[0], size)
     # large images are thinned first, as a full window over them would see no more
     step = max(1, min(pixels.shape[1] // (4 * width), pixels.shape[0] // (4 * height)))
-    return encode_png(resize(pixels[::step, ::step], height, width))
+    return jpeg.encode(resize(pixels[::step, ::step], height, width), quality)
 
 
 def thumbnails(rows: DataFrame, size: int = 150, key: str = "path", content: str = "content") -> DataFrame:
-    """Per distinct key and size: key, size, thumbnail (PNG bytes, null if it cannot be made) and error."""
+    """Per distinct key and size: key, size, thumbnail (JPEG bytes, null if it cannot be made) and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Catalog, cache, similarity, ranking, metrics, media, embedding, engine, streaming and command line."""
 
 import json
+import math
 import os
 import random
 import sqlite3
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaique import cli, config
-from mosaique.operators import cache, embed, media, metrics, ranking, similarity
+from mosaique.operators import cache, embed, jpeg, media, metrics, ranking, similarity, vit
 from mosaique.operators.cache import FeatureCache
 from mosaique.plans import reports
 from mosaique.plans.engine import Engine, NeedsModel, Snapshot, SnapshotRegistry
@@ -220,13 +221,97 @@ def test_decoding():
             media.decode(bad)
 
 
-def test_model_input_and_thumbnails(spark):
+def test_model_input_and_thumbnails(spark, tmp_path):
     white = media.preprocess(np.full((10, 10, 3), 255, np.uint8), config.PRESETS["small"])
     assert white.shape == (3, 518, 518) and white[0].mean() == pytest.approx((1 - 0.485) / 0.229, abs=1e-4)
     rows = spark.createDataFrame([("a", picture(1, 64, 48)), ("a", picture(1, 64, 48)), ("b", b"no"), ("c", picture(2, 2000, 3)), ("d", None)], "path string, content binary")
     got = {r["path"]: r for r in media.thumbnails(rows, 32).collect()}
     assert set(got) == {"a", "b", "c", "d"} and got["b"]["thumbnail"] is None and got["b"]["error"]
-    assert media.decode(bytes(got["a"]["thumbnail"])).shape == (24, 32, 3) and media.decode(bytes(got["c"]["thumbnail"])).shape == (1, 32, 3)
+    for name in "ac":
+        (tmp_path / f"{name}.jpg").write_bytes(bytes(got[name]["thumbnail"]))
+    sizes = {r["path"][-5:-4]: (r["height"], r["width"]) for r in media.jvm_images(spark, f"file:{tmp_path}").collect()}
+    assert sizes == {"a": (24, 32), "c": (1, 32)}
+
+
+def test_jpeg(spark, tmp_path):
+    y, x = np.mgrid[0:45, 0:61]
+    smooth = np.stack([x * 4, y * 5, 255 - x * 3], axis=2).astype(np.uint8)
+    (tmp_path / "s.jpg").write_bytes(jpeg.encode(smooth, 90))
+    (tmp_path / "n.jpg").write_bytes(jpeg.encode(np.random.default_rng(1).integers(0, 255, (9, 8, 3), dtype=np.uint8)))
+    (tmp_path / "one.jpg").write_bytes(jpeg.encode(np.full((1, 1, 3), 255, np.uint8)))
+    got = {r["path"].rpartition("/")[2]: r for r in media.jvm_images(spark, f"file:{tmp_path}").collect()}
+    assert set(got) == {"s.jpg", "n.jpg", "one.jpg"}
+    back = np.frombuffer(got["s.jpg"]["pixels"], np.uint8).reshape(45, 61, 3).astype(int)
+    assert np.abs(back - smooth).mean() < 3
+
+
+def plain_transformer(t, c, image):
+    """The same network token by token, in loops."""
+    side, patch = c.height // c.patch, c.patch
+    tokens = [t["cls_token"].ravel(), *t["reg_token"].reshape(c.registers, -1)]
+    for r in range(side):
+        for q in range(side):
+            cut = image[:, r * patch : (r + 1) * patch, q * patch : (q + 1) * patch]
+            tokens.append((t["patch_embed.proj.weight"] * cut).sum(axis=(1, 2, 3)) + t["patch_embed.proj.bias"])
+    dim = c.hidden // c.heads
+
+    def norm(v, name):
+        return (v - v.mean()) / np.sqrt(v.var() + 1e-5) * t[f"{name}.weight"] + t[f"{name}.bias"]
+
+    def turn(v, n):
+        if n <= c.registers:
+            return v
+        r, q = divmod(n - 1 - c.registers, side)
+        at, out = [2 * (r + 0.5) / side - 1, 2 * (q + 0.5) / side - 1], v.copy()
+        for j in range(dim // 2):
+            axis, k = divmod(j, dim // 4)
+            a = 2 * np.pi * at[axis] * 100.0 ** (-4 * k / dim)
+            out[j], out[j + dim // 2] = v[j] * np.cos(a) - v[j + dim // 2] * np.sin(a), v[j + dim // 2] * np.cos(a) + v[j] * np.sin(a)
+        return out
+
+    for i in range(c.layers):
+        b = f"blocks.{i}"
+        qkv = [(t[f"{b}.attn.qkv.weight"] @ norm(v, f"{b}.norm1") + t[f"{b}.attn.qkv.bias"]).reshape(3, c.heads, dim) for v in tokens]
+        mixed = []
+        for n in range(len(tokens)):
+            heads = []
+            for h in range(c.heads):
+                s = np.array([turn(qkv[n][0, h], n) @ turn(qkv[m][1, h], m) / np.sqrt(dim) for m in range(len(tokens))])
+                w = np.exp(s - s.max())
+                heads.append(sum(w[m] / w.sum() * qkv[m][2, h] for m in range(len(tokens))))
+            mixed.append(t[f"{b}.attn.proj.weight"] @ np.concatenate(heads) + t[f"{b}.attn.proj.bias"])
+        tokens = [v + m * t[f"{b}.gamma_1"] for v, m in zip(tokens, mixed, strict=True)]
+        after = []
+        for v in tokens:
+            u = t[f"{b}.mlp.fc1.weight"] @ norm(v, f"{b}.norm2") + t[f"{b}.mlp.fc1.bias"]
+            u = u * 0.5 * (1 + np.array([math.erf(x / math.sqrt(2)) for x in u]))
+            after.append(v + t[f"{b}.mlp.fc2.weight"] @ u + t[f"{b}.mlp.fc2.bias"])
+        tokens = after
+    return np.array([norm(v, "norm") for v in tokens])
+
+
+def test_vision_transformer(spark, tmp_path):
+    rng, c = np.random.default_rng(9), config.ModelConfig(16, 2, 2, 12, patch=4, registers=2, height=12, width=12)
+    make = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    t = {"cls_token": make(1, 1, 16), "reg_token": make(1, 2, 16), "patch_embed.proj.weight": make(16, 3, 4, 4), "patch_embed.proj.bias": make(16), "norm.weight": make(16), "norm.bias": make(16)}
+    for i in range(2):
+        b = f"blocks.{i}"
+        t |= {f"{b}.{n}.{k}": make(16) for n in ("norm1", "norm2") for k in ("weight", "bias")}
+        t |= {f"{b}.attn.qkv.weight": make(48, 16), f"{b}.attn.qkv.bias": make(48), f"{b}.attn.proj.weight": make(16, 16), f"{b}.attn.proj.bias": make(16), f"{b}.gamma_1": make(16)}
+        t |= {f"{b}.mlp.fc1.weight": make(12, 16), f"{b}.mlp.fc1.bias": make(12), f"{b}.mlp.fc2.weight": make(16, 12), f"{b}.mlp.fc2.bias": make(16)}
+    path = str(tmp_path / "m.safetensors")
+    vit.write_safetensors(path, t)
+    model = vit.VisionTransformer(vit.read_safetensors(path), c)
+    image = make(3, 12, 12)
+    assert model.forward(image[None])[0] == pytest.approx(plain_transformer(t, c, image), rel=1e-4, abs=1e-4)
+    rows = spark.createDataFrame([("a", picture(1)), ("b", b"no")], "path string, content binary")
+    settings = config.Settings(model=c)
+    got = {r["path"]: r for r in embed.embed(rows, vit.NumpyBackend, settings, path).collect()}
+    assert len(got["a"]["features"]) == 16 and got["b"]["features"] is None
+    gated = {k.replace("fc1", "fc1_g"): v for k, v in t.items() if "fc1" in k}
+    assert vit.VisionTransformer(t | gated, c).forward(image[None]).shape == (1, 12, 16)
+    with pytest.raises(ValueError):
+        vit.VisionTransformer({}, c)
 
 
 class Fussy(embed.HistogramBackend):
