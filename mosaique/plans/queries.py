@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -42,6 +42,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def r4(value) -> Column:
+    """Four decimals; a negative number that rounds to nothing is 0.0, not -0.0."""
+    return F.round(value, 4) + F.lit(0.0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,11 +62,11 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def _as_ids(rows: DataFrame, path: str = "path", sim: str = "similarity", out: str = "similarity") -> DataFrame:
-    return rows.select(F.col(path).cast("long").alias("vec_id"), F.round(sim, 4).alias(out))
+    return rows.select(F.col(path).cast("long").alias("vec_id"), r4(sim).alias(out))
 
 
 _SIMILAR = f"""
-    SELECT e.vec_id, round(list_dot_product(e.{_V}, q.{_V}), 4) AS similarity
+    SELECT e.vec_id, round(list_dot_product(e.{_V}, q.{_V}), 4) + 0.0 AS similarity
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
     WHERE e.vec_id <> 0 AND list_dot_product(e.{_V}, q.{_V}) >= {SEARCH}
 """
@@ -80,18 +85,18 @@ def similar_search_sql(spark, sf_dir):
 
 @query(f"""
     SELECT vec_id, similarity, row_number() OVER (ORDER BY s DESC, lpad(vec_id::VARCHAR, 12, '0')) AS rank FROM (
-        SELECT e.vec_id, list_dot_product(e.{_V}, q.{_V}) AS s, round(list_dot_product(e.{_V}, q.{_V}), 4) AS similarity
+        SELECT e.vec_id, list_dot_product(e.{_V}, q.{_V}) AS s, round(list_dot_product(e.{_V}, q.{_V}), 4) + 0.0 AS similarity
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0)
     ORDER BY rank LIMIT 10
 """)
 def similar_topk(spark, sf_dir):
     """The ten best with their ranks: a top-k report."""
     best = similarity.similar(folder(spark, sf_dir), query_vector(spark, sf_dir), "0", -1.0, limit=10)
-    return ranking.ranked(best, F.desc("similarity"), "file_name").select(F.col("path").cast("long").alias("vec_id"), F.round("similarity", 4).alias("similarity"), "rank")
+    return ranking.ranked(best, F.desc("similarity"), "file_name").select(F.col("path").cast("long").alias("vec_id"), r4("similarity").alias("similarity"), "rank")
 
 
 @query(f"""
-    SELECT e.vec_id, round(list_dot_product(e.{_V}, q.{_V}), 4) AS similarity
+    SELECT e.vec_id, round(list_dot_product(e.{_V}, q.{_V}), 4) + 0.0 AS similarity
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 AND list_dot_product(e.{_V}, q.{_V}) >= -1
 """)
 def similar_limit_zero(spark, sf_dir):
@@ -99,7 +104,7 @@ def similar_limit_zero(spark, sf_dir):
 
 
 _COMPARE = f"""
-    SELECT t.vec_id, round(max(list_dot_product(t.{_V}, s.{_V})), 4) AS best_similarity
+    SELECT t.vec_id, round(max(list_dot_product(t.{_V}, s.{_V})), 4) + 0.0 AS best_similarity
     FROM embeddings t, embeddings s WHERE s.label < 5 AND t.label >= 5 GROUP BY t.vec_id
     HAVING max(list_dot_product(t.{_V}, s.{_V})) >= {COMPARE}
 """
@@ -133,16 +138,16 @@ def compare_empty_source(spark, sf_dir):
 
 
 @query(f"""
-    SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.{_V}, b.{_V}), 4) AS similarity
+    SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.{_V}, b.{_V}), 4) + 0.0 AS similarity
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.{_V}, b.{_V}) >= {COMPARE}
 """)
 def self_pairs(spark, sf_dir):
     rows = folder(spark, sf_dir).withColumn("key", F.col("path").cast("long"))
-    return similarity.pairs_at_least(rows, COMPARE).withColumn("similarity", F.round("similarity", 4))
+    return similarity.pairs_at_least(rows, COMPARE).withColumn("similarity", r4("similarity"))
 
 
 @query(f"""
-    SELECT row_number() OVER (ORDER BY e.vec_id) - 1 AS index, round(list_dot_product(e.{_V}, q.{_V}), 4) AS similarity
+    SELECT row_number() OVER (ORDER BY e.vec_id) - 1 AS index, round(list_dot_product(e.{_V}, q.{_V}), 4) + 0.0 AS similarity
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 1
     QUALIFY list_dot_product(e.{_V}, q.{_V}) >= 0.1
 """)
@@ -150,26 +155,26 @@ def find_similar_index(spark, sf_dir):
     """One query against a list of candidates, by their places in it."""
     rows = folder(spark, sf_dir).filter("label = 1").agg(F.array_sort(F.collect_list(F.struct(F.col("path").cast("long").alias("k"), F.col("features").alias("v")))).alias("c"))
     found = vector.find_similar(F.array(*(F.lit(float(x)) for x in query_vector(spark, sf_dir))), F.col("c")["v"], 0.1)
-    return rows.select(F.explode(found).alias("r")).select(F.col("r.index").cast("long").alias("index"), F.round("r.similarity", 4).alias("similarity"))
+    return rows.select(F.explode(found).alias("r")).select(F.col("r.index").cast("long").alias("index"), r4("r.similarity").alias("similarity"))
 
 
 @query(f"""
     WITH x AS (SELECT vec_id, list_transform({_V}, lambda v: v * (vec_id % 4)) AS v FROM embeddings),
     n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM x)
-    SELECT vec_id, round(n, 4) AS norm, round(CASE WHEN n > 1e-12 THEN v[1] / n ELSE v[1] END, 4) + 0.0 AS first,
-        round(CASE WHEN n > 1e-12 THEN 1.0 ELSE n END, 4) AS norm_after FROM n
+    SELECT vec_id, round(n, 4) + 0.0 AS norm, round(CASE WHEN n > 1e-12 THEN v[1] / n ELSE v[1] END, 4) + 0.0 AS first,
+        round(CASE WHEN n > 1e-12 THEN 1.0 ELSE n END, 4) + 0.0 AS norm_after FROM n
 """)
 def l2_normalize(spark, sf_dir):
     """Vectors at four lengths, of which one is zero and stays zero."""
     scaled = F.transform("embedding", lambda v: v.cast("double") * (F.col("vec_id") % 4))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("v"))
     unit = vector.l2_normalize(F.col("v"))
-    return rows.select("vec_id", F.round(vector.norm(F.col("v")), 4).alias("norm"), (F.round(unit[0], 4) + F.lit(0.0)).alias("first"), F.round(vector.norm(unit), 4).alias("norm_after"))
+    return rows.select("vec_id", r4(vector.norm(F.col("v"))).alias("norm"), r4(unit[0]).alias("first"), r4(vector.norm(unit)).alias("norm_after"))
 
 
 @query(f"""
-    SELECT a.vec_id, round(list_max(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 4) AS difference,
-        round(1 - list_dot_product(a.{_V}, b.{_V}), 4) AS deviation
+    SELECT a.vec_id, round(list_max(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 4) + 0.0 AS difference,
+        round(1 - list_dot_product(a.{_V}, b.{_V}), 4) + 0.0 AS deviation
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 """)
 def vector_maxdiff(spark, sf_dir):
@@ -177,14 +182,14 @@ def vector_maxdiff(spark, sf_dir):
     a = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
     return a.join(b, "vec_id").select(
-        "vec_id", F.round(vector.max_abs_difference(F.col("x"), F.col("y")), 4).alias("difference"), F.round(1 - vector.dot(F.col("x"), F.col("y")), 4).alias("deviation")
+        "vec_id", r4(vector.max_abs_difference(F.col("x"), F.col("y"))).alias("difference"), r4(1 - vector.dot(F.col("x"), F.col("y"))).alias("deviation")
     )
 
 
 @query(f"""
     WITH s AS (SELECT e.vec_id, list_dot_product(e.{_V}, q.{_V}) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
     SELECT vec_id, round(greatest(0, least(100, (s + 1) / 2 * 100)), 3) AS percentage, floor(s * 100 + 0.5)::BIGINT || '%' AS display,
-        CASE WHEN s * 100 >= 90 THEN 'high' WHEN s * 100 >= 80 THEN 'medium' ELSE 'low' END AS badge, round(floor(s * 100 + 0.5) / 100, 4) AS threshold
+        CASE WHEN s * 100 >= 90 THEN 'high' WHEN s * 100 >= 80 THEN 'medium' ELSE 'low' END AS badge, round(floor(s * 100 + 0.5) / 100, 4) + 0.0 AS threshold
     FROM s
 """)
 def similarity_display(spark, sf_dir):
@@ -195,21 +200,21 @@ def similarity_display(spark, sf_dir):
         F.round(vector.percentage(s), 3).alias("percentage"),
         vector.display_percent(s).alias("display"),
         vector.badge(s).alias("badge"),
-        F.round(vector.slider_threshold(F.floor(s * 100 + 0.5)), 4).alias("threshold"),
+        r4(vector.slider_threshold(F.floor(s * 100 + 0.5))).alias("threshold"),
     )
 
 
 @query(f"""
     WITH x AS (SELECT vec_id, list_slice({_V}, 1, 16) AS v FROM embeddings)
-    SELECT vec_id, len(v) AS dim, round(v[1] / sqrt(list_dot_product(v, v)), 4) AS first FROM x
+    SELECT vec_id, len(v) AS dim, round(v[1] / sqrt(list_dot_product(v, v)), 4) + 0.0 AS first FROM x
 """)
 def cls_projection(spark, sf_dir):
     token = vector.class_token(F.col("embedding"), 16)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(token).cast("long").alias("dim"), F.round(vector.l2_normalize(token)[0], 4).alias("first"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(token).cast("long").alias("dim"), r4(vector.l2_normalize(token)[0]).alias("first"))
 
 
 @query(f"""
-    SELECT e.vec_id, round(list_dot_product(e.{_V}, q.{_V}), 4) AS similarity
+    SELECT e.vec_id, round(list_dot_product(e.{_V}, q.{_V}), 4) + 0.0 AS similarity
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 2 = 0
 """)
 def dim_guard(spark, sf_dir):
@@ -507,7 +512,7 @@ def filetime(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, round(least(value / greatest(event_id % 3, 1e-9), 1e6), 4) AS rate,
+    SELECT event_id, round(least(value / greatest(event_id % 3, 1e-9), 1e6), 4) + 0.0 AS rate,
         CASE WHEN value >= 100 THEN floor(value + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', round(value, 1)) END AS speed,
         round(CASE WHEN event_id > 0 THEN (event_id % 10) / event_id::DOUBLE ELSE 0 END, 8) AS done,
         'Extracting features: ' || (event_id % 10) || '/' || event_id || ' images (Cache: ' || (event_id % 3) || ' hits, ' || (event_id % 7) || ' misses)' AS message
@@ -517,7 +522,7 @@ def progress_text(spark, sf_dir):
     i, v = F.col("event_id"), F.col("value")
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.round(F.least(files.rate(v, (i % 3).cast("double")), F.lit(1e6)), 4).alias("rate"),
+        r4(F.least(files.rate(v, (i % 3).cast("double")), F.lit(1e6))).alias("rate"),
         files.speed_text(v).alias("speed"),
         F.round(files.ratio((i % 10).cast("double"), i), 8).alias("done"),
         files.progress_text(i % 10, i, i % 3, i % 7).alias("message"),
@@ -595,14 +600,14 @@ def union_extracted(spark, sf_dir):
         SELECT vec_id AS item, 'a' AS backend, {_V} AS v FROM embeddings
         UNION ALL SELECT vec_id, 'b', list_transform({_V}, lambda x: x * 0.5) FROM embeddings
         UNION ALL SELECT vec_id, 'c', list_transform({_V}, lambda x: x * -0.25) FROM embeddings)
-    SELECT x.item, x.backend AS backend_a, y.backend AS backend_b, round(list_dot_product(x.v, y.v), 4) AS similarity
+    SELECT x.item, x.backend AS backend_a, y.backend AS backend_b, round(list_dot_product(x.v, y.v), 4) + 0.0 AS similarity
     FROM v x JOIN v y ON x.item = y.item AND x.backend < y.backend
 """)
 def cross_backend_agreement(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     by = lambda name, k: rows.select(F.lit(name).alias("backend"), F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double") * k).alias("features"))
     found = similarity.backend_pairs(by("a", 1.0).unionByName(by("b", 0.5)).unionByName(by("c", -0.25)))
-    return found.withColumn("similarity", F.round("similarity", 4))
+    return found.withColumn("similarity", r4("similarity"))
 
 
 @query("""
@@ -655,7 +660,7 @@ def thumbnails(spark, sf_dir):
 def embed_stub(spark, sf_dir):
     """A vector for each picture; what cannot be decoded has an error and does not stop the rest."""
     rows = embed.embed(_pictures(spark, sf_dir), embed.HistogramBackend, config.Settings())
-    return rows.select("p_partkey", F.size("features").alias("dim"), F.round(vector.norm(F.col("features")), 4).alias("norm"), "error")
+    return rows.select("p_partkey", F.size("features").alias("dim"), r4(vector.norm(F.col("features"))).alias("norm"), "error")
 
 
 @query()
