@@ -216,7 +216,8 @@ def _blocks(rows: DataFrame, count: DataFrame, name: str) -> DataFrame:
 def _verify_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between the nodes of two lists. One to an inner node is enough, as those are one component."""
     for batch in batches:
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for k in range(batch.num_rows):  # a row at a time is in memory as Python objects
+            left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
             sets = [np.frombuffer(r["members"], dtype=np.uint64) for r in right]
             sizes = np.array([len(s) for s in sets])
             names = np.array([r["node"] for r in right])

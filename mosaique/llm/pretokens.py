@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Parts, and pre-tokens, kept with their ids in each Python worker, and the most characters of one kept.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 48
 
 
 def _edge(word: str) -> bool:
