@@ -12,7 +12,7 @@ import time
 import uuid
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import exists, hadoop, remove
@@ -52,15 +52,17 @@ def counts(entries: DataFrame, cache: DataFrame, dim: int, **keys: str) -> DataF
     return split(entries, cache, dim, **keys).agg(total.alias("total"), found.alias("cache_hits"), (total - found).alias("cache_misses"))
 
 
-def latest(rows: DataFrame, key: str = "path", time_: str = "updated_at", *tie: str | Column) -> DataFrame:
-    """The newest row of each key: an append-only table read as if each write had replaced its key."""
-    w = Window.partitionBy(key).orderBy(F.desc(time_), *(F.desc(t) if isinstance(t, str) else t for t in tie))
-    return rows.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+def latest(rows: DataFrame, key: str = "path", time_: str = "updated_at", *tie: str) -> DataFrame:
+    """The newest row of each key: an append-only table read as if each write had replaced its key. Rows of a key
+    are folded in each task before they are shuffled."""
+    rest = [c for c in rows.columns if c != key]
+    newest = F.max_by(F.struct(*rest), F.struct(time_, *tie)).alias("_row")
+    return rows.groupBy(key).agg(newest).select(key, "_row.*").select(*rows.columns)
 
 
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new replace those of cache with the same path; of a path twice in new the last written stays."""
-    new = latest(new, "path", "updated_at", F.desc("file_size"), F.desc("last_modified"))
+    new = latest(new, "path", "updated_at", "file_size", "last_modified")
     return cache.join(new.select("path"), "path", "left_anti").unionByName(new)
 
 

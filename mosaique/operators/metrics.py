@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def indexed_percentile(values: Column, percent: int) -> Column:
     """The element at floor(n * percent / 100) of the sorted values: a value that occurred, nothing in between."""
@@ -13,15 +15,17 @@ def indexed_percentile(values: Column, percent: int) -> Column:
 
 
 def latency(rows: DataFrame, group: str, value: str, percent: int = 95) -> DataFrame:
-    """Per group: average, least and indexed percentile. The percentile is found from the counts of the distinct
-    values, which are folded before they are shuffled, so a large group is not gathered in one task's memory."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(group).orderBy("_v")
-    placed = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
-    wanted = F.least(F.floor(F.col("_all") * percent / 100), F.col("_all") - 1)
-    at = placed.filter(F.col("_upto") > wanted).groupBy(group).agg(F.min("_v").alias(f"p{percent}"))
-    plain = rows.groupBy(group).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.count(value).alias("n"))
-    return plain.join(at, group)
+    """Per group: average, least, number of values and indexed percentile; groups without values are left out.
+
+    Values are numbered in one order over all groups, dealt by ranges, so a group with most of the rows spreads
+    over tasks; the percentile is the value at a place counted from the group's first."""
+    there = rows.filter(F.col(value).isNotNull()).select(group, value)
+    plain = there.groupBy(group).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.count(value).alias("n"))
+    placed = numbered(there, F.col(group).asc_nulls_first(), value, name="_place")
+    starts = placed.groupBy(group).agg(F.min("_place").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    wanted = starts.select((F.col("_start") + F.least(F.floor(F.col("_n") * percent / 100), F.col("_n") - 1)).alias("_place"))
+    at = placed.join(wanted, "_place").select(F.col(group).alias("_g"), F.col(value).alias(f"p{percent}"))
+    return plain.join(at, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def warm_average(rows: DataFrame, group: str, value: str, *order: str) -> DataFrame:

@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -665,14 +664,14 @@ def embed_stub(spark, sf_dir):
 
 @query()
 def folder_scan(spark, sf_dir):
-    """The catalog of a folder of files, hidden ones and other kinds among them. Runs on a machine's own disk."""
-    with tempfile.TemporaryDirectory(prefix="mosaique-scan-") as root:
-        for name in ("a.jpg", "B.PNG", "_under.png", ".dot.png", "t.txt", "noext", "sub/c.webp", "sub/a.jpg", "sub/.hid/e.png"):
-            os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
-            with open(f"{root}/{name}", "wb") as out:
-                out.write(b"x" * len(name))
-        rows = catalog.scan(spark, root).select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "file_name", "file_size").collect()
-    return spark.createDataFrame(rows, "path string, file_name string, file_size long")
+    """The catalog of a folder of files, hidden ones and other kinds among them. The folder is made in the shared
+    one, which must be mounted, as the scan lists it with the machine's own calls."""
+    root = fresh_path(spark, "scan").removeprefix("file://")
+    for name in ("a.jpg", "B.PNG", "_under.png", ".dot.png", "t.txt", "noext", "sub/c.webp", "sub/a.jpg", "sub/.hid/e.png"):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as out:
+            out.write(b"x" * len(name))
+    return catalog.scan(spark, root).select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "file_name", "file_size")
 
 
 @query()
