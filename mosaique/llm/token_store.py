@@ -87,6 +87,8 @@ def store_file(uri: str, data: bytes) -> None:
     part = f"{path.rpartition('/')[0]}/_{np.random.default_rng().integers(1 << 62)}.tmp"
     with store.open_output_stream(part) as out:
         out.write(data)
+    if store.get_file_info(path).type != fs.FileType.NotFound:  # of an attempt that was lost; some stores do not move onto a file
+        store.delete_file(path)
     store.move(part, path)
 
 
