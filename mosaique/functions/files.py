@@ -111,5 +111,9 @@ def speed_text(rate_: Column) -> Column:
     return F.when(rate_ >= 100, F.floor(rate_ + 0.5).cast("string")).otherwise(F.format_string("%.1f", rate_))
 
 
+#: Fixed value: the message of a progress event.
+PROGRESS = "Extracting features: %d/%d images (Cache: %d hits, %d misses)"
+
+
 def progress_text(processed: Column, total: Column, hits: Column, misses: Column) -> Column:
-    return F.format_string("Extracting features: %d/%d images (Cache: %d hits, %d misses)", processed, total, hits, misses)
+    return F.format_string(PROGRESS, processed, total, hits, misses)

@@ -1,4 +1,4 @@
-"""Answers as JSON documents, text reports and dumps."""
+"""Answers as JSON documents, text reports and dumps. The documents' field names are fixed values."""
 
 from __future__ import annotations
 
@@ -50,8 +50,12 @@ def clear_document(folder: str, cleared: bool) -> dict:
     return {"folder": folder, "cleared": cleared}
 
 
+#: Fixed value: a line of a text report.
+LINE = "{:>3}. {:.4f}  {}"
+
+
 def listing(results: list[dict], path: str, similarity: str) -> list[str]:
-    return [f"{i:>3}. {r[similarity]:.4f}  {r[path]}" for i, r in enumerate(results, 1)]
+    return [LINE.format(i, r[similarity], r[path]) for i, r in enumerate(results, 1)]
 
 
 def dump(rows: DataFrame, dim: int, path: str) -> None:
