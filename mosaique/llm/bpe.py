@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces_of, texts_of
+from .common import pieces_of, texts_of, utf8_view
 from .pretokens import MemoEncoder
 
 #: Bytes of text that are encoded together.
@@ -195,7 +195,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
-        self.encode = MemoEncoder(regex.compile(pattern).findall, self._pieces).encode
+        self.memo = MemoEncoder(regex.compile(pattern).findall, self._pieces, vocabulary.size)
+        self.encode, self.view = self.memo.encode, self.memo.encode_view
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return self.vocabulary.encode_pieces([piece.encode() for piece in pieces])
@@ -256,9 +257,8 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Da
         encoder = Encoder.load(path, pattern)
         for batch in batches:
             for part in pieces_of(batch, at, CHUNK_BYTES // 2):
-                ids = encoder.encode(texts_of(part.column(at)))
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32()))
+                ids, ends = encoder.view(*utf8_view(part.column(at)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(ends), pa.int64()), lists], [*names, "n_tokens", "ids"])
 
     return docs.select(*names).mapInArrow(run, schema)
@@ -271,12 +271,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path, pattern)
         for batch in _chunks(batches):
-            ids = encoder.encode(texts_of(batch.column(1)))
+            ids, ends = encoder.view(*utf8_view(batch.column(1)))
+            raw = [x.astype("<u4").tobytes() for x in np.split(ids, ends[1:-1])]
             columns = [
                 batch.column(0),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string()),
+                pa.array(np.diff(ends)),
+                pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in raw], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, pieces_of, texts_of
+from .common import exists, pieces_of, utf8_view
 from .tokenizer_library import Library, tokenizer_version
 
 CHUNK_BYTES = 8 << 20
@@ -33,8 +34,8 @@ def _counted(distinct: DataFrame, path: str, tokenizer: str) -> DataFrame:
         library = Library.load(path)
         for batch in batches:
             for part in pieces_of(batch, 1, CHUNK_BYTES):
-                counts = [len(ids) // 4 for ids in library.ids(texts_of(part.column(1)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["content", "tokenizer", "n_tokens"])
+                counts = np.diff(library.view(*utf8_view(part.column(1)))[1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts)], ["content", "tokenizer", "n_tokens"])
 
     return distinct.mapInArrow(run, CACHE_SCHEMA)
 

@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, texts_of
+from .common import pieces_of, stored, utf8_view
 from .tokenizer_library import Library
 from .wavelet import WaveletFile, dump
 
@@ -42,13 +42,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, key:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library.load(path)
         kind = np.uint16 if library.vocab_size <= 1 << 16 else np.uint32
-        end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             for part in pieces_of(batch, 1, CHUNK_BYTES):
                 keys = part.column(0).fill_null(np.iinfo(np.int64).min)
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in library.ids(texts_of(part.column(1)))]
+                ids, ends = library.view(*utf8_view(part.column(1)))
+                raw = np.insert(ids.astype(kind, copy=False), ends[1:], end_id)
+                ends = (ends + np.arange(len(ends))) * kind().itemsize
+                ids = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 ranges = np.searchsorted(bounds, keys.to_numpy(), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), keys, pa.array(ids, pa.binary())], ["range", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), keys, ids], ["range", "key", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library.load(path)

@@ -26,9 +26,8 @@ BLOCK = 1 << 16
 def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """Packed planes, highest bit first, and the zeros of each."""
     planes, zeros = [], []
-    one = ids.dtype.type(1)
     for level in range(bits - 1, -1, -1):
-        set_ = ((ids >> ids.dtype.type(level)) & one).view(bool) if ids.dtype.itemsize == 1 else ((ids >> ids.dtype.type(level)) & one).astype(bool)
+        set_ = (ids & ids.dtype.type(1 << level)) != 0
         planes.append(np.packbits(set_))
         low = ids[~set_]
         zeros.append(len(low))
