@@ -29,9 +29,9 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     for level in range(bits - 1, -1, -1):
         set_ = (ids & ids.dtype.type(1 << level)) != 0
         planes.append(np.packbits(set_))
-        low = ids[~set_]
+        low = np.compress(~set_, ids)  # several times as fast as indexing by a mask
         zeros.append(len(low))
-        ids = np.concatenate([low, ids[set_]])
+        ids = np.concatenate([low, np.compress(set_, ids)])
     return planes, zeros
 
 
@@ -102,8 +102,8 @@ class WaveletFile:
             set_ = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=self.tokens).view(bool)
             before = np.empty(self.tokens, dtype=kind)
             zero = self.zeros[level]
-            before[~set_] = out[:zero]
-            before[set_] = out[zero:] | kind(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~set_)] = out[:zero]
+            before[np.flatnonzero(set_)] = out[zero:] | kind(1 << (self.bits - 1 - level))
             out = before
         return out
 
