@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 from mosaique.storage import exists, forget, fresh_path, remove, shared_dir, stored
 
-__all__ = ["exists", "forget", "fresh_path", "pieces_of", "remove", "shared_dir", "stored", "texts_of", "utf8_view"]
+__all__ = ["ended", "exists", "forget", "fresh_path", "pieces_of", "remove", "shared_dir", "stored", "texts_of", "utf8_view"]
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
@@ -29,6 +29,14 @@ def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], (at - at[0]).astype(np.int64)
 
 
+def ended(values: np.ndarray, offsets: np.ndarray, end: int) -> np.ndarray:
+    """values of n texts (n + 1 offsets) with an end put after each text's."""
+    out = np.full(len(values) + len(offsets) - 1, end, dtype=values.dtype)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        out[a + i : b + i] = values[a:b]
+    return out
+
+
 def pieces_of(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about limit bytes (one row at least)."""
     if not batch.num_rows:

@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import ended
 from .shingles import mix
 
 #: Words kept with their ids in each Python worker (at most half of the table's slots), and the most bytes of one kept.
@@ -147,7 +148,7 @@ class MemoEncoder:
         n = len(offsets) - 1
         if not n:
             return self.store.flat[:0], np.zeros(1, dtype=np.int64)
-        data = np.insert(data, offsets[1:], _SPACE)  # a space ends each text
+        data = ended(data, offsets, _SPACE)
         offsets = offsets + np.arange(n + 1)
         ends = np.flatnonzero(data == _SPACE)
         starts = np.concatenate([[0], ends[:-1] + 1])

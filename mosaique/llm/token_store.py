@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, utf8_view
+from .common import ended, pieces_of, stored, utf8_view
 from .tokenizer_library import Library
 from .wavelet import WaveletFile, dump
 
@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, key:
             for part in pieces_of(batch, 1, CHUNK_BYTES):
                 keys = part.column(0).fill_null(np.iinfo(np.int64).min)
                 ids, ends = library.view(*utf8_view(part.column(1)))
-                raw = np.insert(ids.astype(kind, copy=False), ends[1:], end_id)
+                raw = ended(ids.astype(kind, copy=False), ends, end_id)
                 ends = (ends + np.arange(len(ends))) * kind().itemsize
                 ids = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 ranges = np.searchsorted(bounds, keys.to_numpy(), side="right")
