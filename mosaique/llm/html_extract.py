@@ -1,8 +1,7 @@
 """Main text of web pages by a suffix array over the pages of a host (operator 6).
 
 Pages are scanned into blocks. Text inside an article or main element is the page's own, unless it stands in an
-element for menus, notices, adverts, forms or comments. Where a page has no such element, what its host repeats
-decides: the token streams of a host's pages are concatenated, a suffix array sorted to a fixed depth puts equal
+element for menus, notices, adverts, forms or comments. On all other text what its host repeats decides: the token streams of a host's pages are concatenated, a suffix array sorted to a fixed depth puts equal
 runs side by side, and blocks or parts of blocks covered by runs that stand on two or more distinct pages are
 boilerplate; the unique runs between them stay.
 """
@@ -73,22 +72,28 @@ def main_texts(pages: list[str]) -> list[str]:
     """The main text of each of some pages of one host."""
     parsed: list[list[Block]] = [blocks(page) for page in pages]
     split = [[b.text.split(" ") for b in page] for page in parsed]
-    out: list[str | None] = [" ".join(b.text for b in page if b.main and not b.noise) if any(b.main for b in page) else None for page in parsed]
-    if None not in out:
-        return out
-    masks = repeated([[t for tokens in page for t in tokens] for page in split])
-    for i, (page, cut, mask) in enumerate(zip(parsed, split, masks, strict=True)):
-        if out[i] is None:
-            kept, at = [], 0
-            for block, tokens in zip(page, cut, strict=True):
-                unique = ~_whole_runs(mask[at : at + len(tokens)])
-                at += len(tokens)
-                if not block.noise and unique.any():
-                    kept.append(" ".join(t for t, u in zip(tokens, unique.tolist(), strict=True) if u))
-            out[i] = " ".join(kept)
+    masks = repeated([_stream(page) for page in parsed])
+    out = []
+    for page, cut, mask in zip(parsed, split, masks, strict=True):
+        kept, at = [], 0
+        for block, tokens in zip(page, cut, strict=True):
+            covered = mask[at : at + len(tokens)]
+            at += len(tokens)
+            if block.noise:
+                continue
+            unique = ~_whole_runs(covered)
+            if block.main or unique.all():
+                kept.append(block.text)
+            elif unique.any():
+                kept.append(" ".join(t for t, u in zip(tokens, unique.tolist(), strict=True) if u))
+        out.append(" ".join(kept))
     return out
 
 
+def _stream(page: list[Block]) -> list[str]:
+    return [t for b in page for t in b.text.split(" ")]
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: the key, url, text (empty if none) and n_chars.
 

@@ -76,6 +76,13 @@ def test_large_host_is_dealt(spark, monkeypatch):
     assert {(r["page_id"], r["text"]) for r in html_extract.extract(pages).collect()} == {(i, f"page {i}") for i in range(95)}
 
 
+def test_story_beside_an_article(spark):
+    menu = "Home News Sport Weather Money Travel Food Shop Log in"
+    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><div>Story {i} of its own words {i * 7}</div><article>Teaser {i}</article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {i: f"Story {i} of its own words {i * 7} Teaser {i}" for i in range(4)}
+
+
 def test_extraction_of_the_table(spark, sf_dir):
     import html as entities
 
