@@ -83,6 +83,19 @@ def test_story_beside_an_article(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {i: f"Story {i} of its own words {i * 7} Teaser {i}" for i in range(4)}
 
 
+def test_large_host_is_as_one_array(spark, monkeypatch):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(n))
+    notice, menu, copy = prose(12), prose(9), prose(40)
+    rows = [(i, f"http://one.example/{i}", f"<div>{menu}</div><div>{prose(rng.randint(0, 60))}</div><p>{notice if i in (3, 77) else 'x'}</p>") for i in range(90)]
+    rows += [(i, f"http://one.example/{i}", f"<p class=c{i}>{copy}</p>") for i in range(90, 95)] + [(95, "http://one.example/95", None), (96, "http://two.example/", f"<p>{notice}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    monkeypatch.setattr(html_extract, "PAGES", 2)  # 49 groups, 4 buckets
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == whole
+    assert notice not in whole[3] and whole[90] == whole[94] == copy and whole[96] == notice
+
+
 def test_extraction_of_the_table(spark, sf_dir):
     import html as entities
 
