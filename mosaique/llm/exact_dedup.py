@@ -83,10 +83,23 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("row_key"), normalised(text).alias("row_text"))
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("digest")
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row_key and digest (SHA-256 of the normalised text) of each row, written once."""
     rows = _rows(docs, key, text)
-    return stored(rows.select("row_key", F.unhex(F.sha2(F.col("row_text").cast("binary"), 256)).alias("digest")), "digests")
+    return stored(rows.select("row_key", _digest("row_text")), "digests")
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame, keep: str, name: str) -> DataFrame:
+    """The text of each digest of pairs, by key (null or not) and digest, as rows of other texts may have the key."""
+    rows = docs.select("row_key", _digest("row_text").alias("text_digest"), "row_text")
+    # by merge at every size: how much moves then grows as the table does, and no side is broadcast
+    wanted = pairs.select(F.col(keep).alias("wanted_key"), "digest").hint("merge")
+    found = rows.join(wanted, F.col("row_key").eqNullSafe(F.col("wanted_key")) & (F.col("text_digest") == F.col("digest")))
+    return found.groupBy("digest").agg(F.first("row_text").alias(name))
 
 
 def against(groups: DataFrame, docs: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -94,9 +107,7 @@ def against(groups: DataFrame, docs: DataFrame, snapshot: Snapshot) -> DataFrame
     positive = stored(screen(groups, snapshot), "screened")
     old = snapshot.entries.select("digest", F.col("keep").alias("old_keep"), F.col("size").alias("old_size"))
     pairs = stored(positive.join(old, "digest").select("digest", F.col("keep").alias("new_keep"), "old_keep", "old_size"), "positives")
-    # by merge at every size: how much moves then grows as the table does, and no side is broadcast
-    new_text = docs.join(pairs.select(F.col("new_keep").alias("row_key"), "digest").hint("merge"), "row_key").groupBy("digest").agg(F.first("row_text").alias("new_text"))
-    old_text = snapshot.docs.join(pairs.select(F.col("old_keep").alias("row_key"), "digest").hint("merge"), "row_key").groupBy("digest").agg(F.first("row_text").alias("old_text"))
+    new_text, old_text = _texts_of(docs, pairs, "new_keep", "new_text"), _texts_of(snapshot.docs, pairs, "old_keep", "old_text")
     same = new_text.join(old_text, "digest").filter(F.col("new_text") == F.col("old_text")).select("digest")
     return pairs.join(same, "digest", "left_semi").select("digest", "old_keep", "old_size")
 

@@ -123,6 +123,15 @@ def test_exact_dedup(spark):
     assert sorted((r["doc_id"], r["kept"], r["group_size"]) for r in exact_dedup.exact_dedup(twice).collect()) == [(4, True, 3), (5, False, 3), (5, False, 3)]
 
 
+def test_exact_dedup_of_null_and_repeated_keys(spark):
+    rows = [(0, "a"), (10, "z"), (None, "a"), (None, "a"), (9, "b"), (9, "c"), (1, "b"), (1, "c")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_text = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows}
+    assert sorted((by_text[r["text_sha256"]], -1 if r["doc_id"] is None else r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [
+        ("a", -1, 0, 3, False), ("a", -1, 0, 3, False), ("a", 0, 0, 3, True), ("b", 1, 1, 2, True), ("b", 9, 1, 2, False), ("c", 1, 1, 2, True), ("c", 9, 1, 2, False), ("z", 10, 10, 1, True),
+    ]
+
+
 def test_filter_screens_only_what_may_match(spark):
     rows = spark.range(2000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest", "id AS keep", "1L AS size")
     snapshot = exact_dedup.freeze(rows.filter("keep < 1000"), None)
