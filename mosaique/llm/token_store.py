@@ -110,6 +110,8 @@ def read_tokens(spark: SparkSession, files: DataFrame, folder: str, key: str = "
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n), pa.array(file.keys), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["name", "key", "inside", "n_tokens", "ids_crc32"])
 
+    if files.isEmpty():  # then there is no folder
+        return spark.createDataFrame([], f"{key} long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     rows = found.mapInArrow(run, "name string, key long, inside long, n_tokens long, ids_crc32 long")
     per_range = files.groupBy("range").agg(F.sum("tokens").alias("tokens")).orderBy("range").collect()  # MOST_RANGES at most

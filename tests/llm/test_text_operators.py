@@ -141,6 +141,13 @@ def test_token_store(spark, docs):
     assert files.count() == 0
 
 
+def test_token_store_of_an_empty_table(spark, docs):
+    folder = fresh_path(spark, "store")
+    files = token_store.write_tokens(docs.filter("false"), JSON, folder)
+    got = token_store.read_tokens(spark, files, folder)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+
+
 def test_token_store_ranges(spark, monkeypatch):
     monkeypatch.setattr(token_store, "RANGE_ROWS", 5)
     monkeypatch.setattr(token_store, "FILE_TOKENS", 20)
