@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
-from . import jpeg
+from . import jpeg, readers
 
 
 class Undecodable(ValueError):
@@ -89,14 +89,18 @@ def _decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes | None) -> np.ndarray:
-    """Pixels (height, width, RGB) by the content, whatever the name; transparency is dropped. PNG and BMP are read
-    here; other formats by `jvm_images`."""
+    """Pixels (height, width, RGB) by the content, whatever the name; transparency is dropped. PNG, BMP, JPEG
+    and GIF (the first frame) are read."""
     try:
         if data and data.startswith(b"\x89PNG\r\n\x1a\n"):
             return _decode_png(data)
         if data and data.startswith(b"BM"):
             return _decode_bmp(data)
-    except (struct.error, zlib.error, ValueError) as error:
+        if data and data.startswith(b"\xff\xd8\xff"):
+            return readers.decode_jpeg(data)
+        if data and data.startswith((b"GIF87a", b"GIF89a")):
+            return readers.decode_gif(data)
+    except (struct.error, zlib.error, ValueError, LookupError, TypeError) as error:
         raise Undecodable(str(error)) from error
     raise Undecodable("unknown format")
 

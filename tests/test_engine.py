@@ -337,6 +337,44 @@ def test_jvm_images(spark, tree):
     assert bytes(got["a.jpg"]["pixels"]) == media.decode(picture(0)).tobytes()  # by content, whatever the name
 
 
+@pytest.fixture
+def photos(spark, tmp_path):
+    """One picture as JPEG (baseline with fewer chroma samples, progressive) and GIF, as the JVM writes them."""
+    y, x = np.mgrid[0:45, 0:61]
+    pixels = np.stack([x * 4, y * 5, 255 - x * 3], axis=2).astype(np.uint8)
+    folder = tmp_path / "photos"
+    folder.mkdir()
+    (tmp_path / "p.png").write_bytes(media.encode_png(pixels))
+    io, file = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io.File
+    image = io.read(file(str(tmp_path / "p.png")))
+    assert io.write(image, "jpg", file(str(folder / "_base.jpg"))) and io.write(image, "gif", file(str(folder / "g.gif")))
+    writer = io.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(1)
+    stream = io.createImageOutputStream(file(str(folder / "prog.jpg")))
+    writer.setOutput(stream)
+    writer.write(None, spark._jvm.javax.imageio.IIOImage(image, None, None), how)
+    stream.close()
+    return folder, pixels
+
+
+def test_real_jpeg_and_gif(spark, engine, photos):
+    folder, pixels = photos
+    assert b"\xff\xc2" in (folder / "prog.jpg").read_bytes()
+    for path in folder.iterdir():
+        assert np.abs(media.decode(path.read_bytes()).astype(int) - pixels).mean() < (12 if path.suffix == ".gif" else 4), path
+    for r in media.jvm_images(spark, f"file:{folder}").collect():
+        want = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], 3).astype(int)
+        found = media.decode(open(r["path"].removeprefix("file:").replace("//", ""), "rb").read())
+        assert np.abs(found - want).mean() < (1e-9 if r["path"].endswith(".gif") else 3), r["path"]
+    with pytest.raises(media.Undecodable):
+        media.decode((folder / "prog.jpg").read_bytes()[:300])
+    got = engine.extract(str(folder))
+    assert got.failed == 0 and got.rows.count() == 3
+    assert engine.similar(str(folder / "_base.jpg"), str(folder), 0.9).count() == 2
+    assert all(r["thumbnail"] for r in engine.thumbnails(str(folder), 20).collect())
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     return Engine(spark, SETTINGS, cache_root=f"file://{tmp_path}/caches")
