@@ -5,8 +5,8 @@ space opens the next pre-token. So a text cut at its spaces can be encoded part
 has white space at an end stands beside a run of white space; a text with such a part is cut by the pattern.
 
 All of a batch runs in numpy: words are hashed by running sums over the bytes, looked up in an open hash table,
-and their ids are gathered from one array. Hashes have 64 bits and are seeded anew in each process, so that no
-text can be made to collide; two of the words held share one with a chance of about one in a million.
+and their ids are gathered from one array. A hash only says where to look: the bytes of every word are compared
+with those of the word whose ids it would get, and a text with a word that differs is encoded without the memory.
 """
 
 from __future__ import annotations
@@ -75,8 +75,29 @@ class _Table:
             # one that lost its slot to another of the same round looks at the next
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of data but the last seven, as rows."""
+    return np.lib.stride_tricks.as_strided(data, (max(len(data) - 7, 0), 8), (1, 1))
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether strings of a and of b that begin at some places and have the same lengths are equal. Both arrays
+    have eight bytes or more behind their last string."""
+    a, b = _eights(a), _eights(b)
+    out, live = np.ones(len(lengths), dtype=bool), np.arange(len(lengths))
+    left = lengths
+    while len(live):
+        differ = (a[at] ^ b[bt]).view("<u8").ravel()
+        short = left < 8
+        differ[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live[differ != 0]] = False
+        more = (left > 8) & (differ == 0)
+        live, at, bt, left = live[more], at[more] + 8, bt[more] + 8, left[more] - 8
+    return out
+
+
 class _Store:
-    """Ids of words, one after the other, and where each word's begin and end."""
+    """Strings of numbers, such as the ids or the bytes of words, one after the other, and where each begins and ends."""
 
     def __init__(self, kind: type) -> None:
         self.flat = np.zeros(1 << 16, dtype=kind)
@@ -85,8 +106,8 @@ class _Store:
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         need, words = self.used + len(ids), self.words + len(lengths)
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, len(self.flat) * 3 // 2) - self.used, dtype=self.flat.dtype)])
+        if need + 8 > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need + 8, len(self.flat) * 3 // 2) - self.used, dtype=self.flat.dtype)])
         if words >= len(self.starts):
             self.starts = np.concatenate([self.starts[: self.words + 1], np.zeros(max(words + 1, len(self.starts) * 3 // 2) - self.words - 1, dtype=np.int64)])
         self.flat[self.used : need] = ids
@@ -114,7 +135,8 @@ class MemoEncoder:
     def __init__(self, find: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], list[bytes]], ids: int = 1 << 32):
         self.find, self.encode_pieces = find, encode_pieces
         self.table, self.store = _Table(), _Store(np.uint16 if ids <= 1 << 16 else np.uint32)
-        self.odd = np.zeros(1 << 14, dtype=bool)
+        self.bytes = _Store(np.uint8)
+        self.odd, self.head_of = np.zeros(1 << 14, dtype=bool), np.zeros(1 << 14, dtype=bool)
         draw = np.random.default_rng(int.from_bytes(os.urandom(16), "little"))
         self.values = draw.integers(0, 1 << 64, 256, dtype=np.uint64)
         self.step = int(draw.integers(0, 1 << 62)) * 4 + 5
@@ -152,45 +174,58 @@ class MemoEncoder:
         offsets = offsets + np.arange(n + 1)
         ends = np.flatnonzero(data == _SPACE)
         starts = np.concatenate([[0], ends[:-1] + 1])
+        data = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        sizes = ends - starts
         first = np.searchsorted(starts, offsets[:-1])  # each text's first word, which has no space before it
-        h = self._hashes(data, starts, ends)
+        is_head = np.zeros(len(starts), dtype=bool)
+        is_head[first] = True
+        h = self._hashes(data[:-8], starts, ends)
         h[first] ^= self.head
         h = mix(h) | np.uint64(1)  # 0 stands for a free slot
         places = self.table.find(h)
-        missing = np.flatnonzero(places == _NONE)
         known = self.store.words
+        other = np.zeros(len(starts), dtype=bool)  # words that only share a hash with the one found
+        held = np.flatnonzero(places != _NONE)
+        of = places[held]
+        begin = self.bytes.starts[of]
+        other[held] = (self.bytes.starts[of + 1] - begin != sizes[held]) | (self.head_of[of] != is_head[held])
+        held = held[~other[held]]
+        other[held] = ~same_bytes(data, starts[held], self.bytes.flat, self.bytes.starts[places[held]], sizes[held])
+        missing = np.flatnonzero(places == _NONE)
         if len(missing):
             new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
             where = missing[where]
-            order = np.argsort(ends[where] - starts[where] > MEMO_BYTES, kind="stable")  # long ones are not kept
+            order = np.argsort(sizes[where] > MEMO_BYTES, kind="stable")  # long ones are not kept
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
+            other[missing] = self._unlike(data, starts, sizes, is_head, missing, where[back])
             new, where = new[order], where[order]
             places[missing] = known + rank[back]
-            is_head = np.zeros(len(starts), dtype=bool)
-            is_head[first] = True
             raw = data.tobytes()
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
             odd, groups = [], []
-            for word, top in zip(words, is_head[where].tolist(), strict=True):
+            for word, top in zip((w.decode("utf-8", "replace") for w in words), is_head[where].tolist(), strict=True):
                 bad = word[-1:].isspace() if top else not word or word[0].isspace() or word[-1].isspace()
                 odd.append(bad)
                 groups.append([] if bad else self.find(word if top else " " + word))
             joined = self._distinct(groups)
             self.store.add(np.frombuffer(b"".join(joined), dtype="<u4"), np.array([len(x) // 4 for x in joined], dtype=np.int64))
             if self.store.words > len(self.odd):
-                self.odd = np.concatenate([self.odd, np.zeros(max(self.store.words, 2 * len(self.odd)) - len(self.odd), dtype=bool)])
+                more = np.zeros(max(self.store.words, 2 * len(self.odd)) - len(self.odd), dtype=bool)
+                self.odd, self.head_of = np.concatenate([self.odd, more]), np.concatenate([self.head_of, more])
             self.odd[known : self.store.words] = odd
-            kept = min(int((ends[where] - starts[where] <= MEMO_BYTES).sum()), max(MEMO_WORDS - known, 0))
+            kept = min(int((sizes[where] <= MEMO_BYTES).sum()), max(MEMO_WORDS - known, 0))
         lengths = self.store.starts[places + 1] - self.store.starts[places]
         counts = np.add.reduceat(lengths, first)
         total = int(lengths.sum())
         at = np.repeat(self.store.starts[places] - (np.cumsum(lengths) - lengths), lengths)
         at += np.arange(total)
         ids = self.store.flat[at]
-        slow = np.flatnonzero(np.logical_or.reduceat(self.odd[places], first))
+        slow = np.flatnonzero(np.logical_or.reduceat(self.odd[places] | other, first))
         if len(missing):
             self.store.cut(known + kept)
+            self.bytes.add(np.frombuffer(b"".join(words[:kept]), dtype=np.uint8), sizes[where[:kept]])
+            self.head_of[known : known + kept] = is_head[where[:kept]]
             self.table.put(new[:kept], np.arange(known, known + kept, dtype=np.int32))
         done = np.concatenate([[0], np.cumsum(counts)])
         if len(slow):
@@ -199,6 +234,17 @@ class MemoEncoder:
             return spliced(ids, done, slow.tolist(), made)
         return ids, done
 
+    @staticmethod
+    def _unlike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, is_head: np.ndarray, words: np.ndarray, like: np.ndarray) -> np.ndarray:
+        """Which of some words differ from the words beside them that have the same hash."""
+        out = (sizes[words] != sizes[like]) | (is_head[words] != is_head[like])
+        short = np.flatnonzero(~out & (sizes[words] <= MEMO_BYTES) & (words != like))
+        out[short] = ~same_bytes(data, starts[words[short]], data, starts[like[short]], sizes[words[short]])
+        for i in np.flatnonzero(~out & (sizes[words] > MEMO_BYTES) & (words != like)).tolist():
+            a, b, n = int(starts[words[i]]), int(starts[like[i]]), int(sizes[words[i]])
+            out[i] = not np.array_equal(data[a : a + n], data[b : b + n])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, joined."""
         raw = [text.encode("utf-8", "replace") for text in texts]

@@ -86,6 +86,31 @@ def test_bpe_operator(docs, tik):
     assert bpe.round_trip(docs.filter("false"), MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def thue_morse(n):
+    """A word and its complement, which collide under every polynomial hash modulo a power of two from some length on."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [16, 32, 48, 64, 256, 1024, 4096])
+def test_words_with_equal_hashes(tik, monkeypatch, n):
+    one, two = thue_morse(n)
+    texts = [f"x {one}", f"x {two}", one, two, f"{two} {one} {two}", f"y {one} z"]
+    tokenizer = Tokenizer.from_file(JSON)
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for weak in (False, True):  # then all words of one length share a hash
+        encoder, library = bpe.Encoder(bpe.Vocabulary.load(MULTI), public_tokenizers.PATTERN), Library(JSON)
+        if weak:
+            for memo in (encoder.memo, library.memo):
+                monkeypatch.setattr(memo, "_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+        for batch in (texts, texts[:1], texts[1:2], texts[::-1], ODD[1:], texts):  # together, then one after the other
+            texts_ = [t or "" for t in batch]
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts_)] == [tik.encode_ordinary(t) for t in texts_]
+            assert [encoder.decode(x).decode() for x in encoder.encode(texts_)] == texts_
+        for at in ([0, 1, 2, 3, 4, 5], [1], [0], [5, 3, 1]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in library.ids([texts[i] for i in at])] == [want[i] for i in at]
+
+
 def test_library_by_pieces_equals_whole():
     tokenizer = Tokenizer.from_file(JSON)
     texts = [t or "" for t in ODD]
