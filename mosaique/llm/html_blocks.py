@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 #: Elements that begin and end a block, that hold no text of their own, that are never main text,
@@ -28,10 +29,13 @@ MARKS = frozenset(
     "outbrain pagination popup promo promoted promotion related replies responses search share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A quote delimits a value directly after an equals sign only; one that is never closed delimits nothing.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]*))?")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _SPACES = re.compile(r"\s+")
+#: Open elements beyond which one that is neither noise nor main text is not noted as open, as browsers do; its text stays.
+MOST_OPEN = 512
 
 
 @dataclass
@@ -59,11 +63,13 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order: character references decoded, white space as one space, trimmed, none empty.
 
     An article or main element below an element that is never main text is part of that. Marks of a class do not
-    count on html, body, article and main. Unclosed elements end with the page or with an ancestor."""
+    count on html, body, article and main. Unclosed elements end with the page or with an ancestor. Elements nested
+    beyond MOST_OPEN lose their nesting, not their text, so the time grows with the page's length alone."""
     out: list[Block] = []
     parts: list[str] = []
     #: Open elements: name, and whether it is noise or main text.
     stack: list[tuple[str, bool, bool]] = []
+    open_ = Counter()
     noise = main = 0
 
     def flush() -> None:
@@ -76,7 +82,8 @@ def blocks(page: str) -> list[Block]:
     def close(depth: int) -> None:
         nonlocal noise, main
         flush()
-        for _, n, m in stack[depth:]:
+        for name, n, m in stack[depth:]:
+            open_[name] -= 1
             noise -= n
             main -= m
         del stack[depth:]
@@ -96,18 +103,20 @@ def blocks(page: str) -> list[Block]:
             continue
         name = found[2].lower()
         if found[1]:
-            if name == "p" and not any(x[0] == "p" for x in stack) or name == "br":
+            if name == "p" and not open_["p"] or name == "br":
                 flush()
                 continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if open_[name] else None
             if depth is not None:
                 if name in BLOCK or any(stack[i][1] or stack[i][2] or stack[i][0] in BLOCK for i in range(depth, len(stack))):
                     # an inline end tag does not end the blocks around it
                     if name in BLOCK or name in NOISE or stack[depth][1]:
                         close(depth)
                     else:
+                        open_[name] -= 1
                         del stack[depth]
                 else:
+                    open_.subtract(x[0] for x in stack[depth:])
                     del stack[depth:]
             elif name in BLOCK:
                 flush()
@@ -137,7 +146,10 @@ def blocks(page: str) -> list[Block]:
         good = name in ("article", "main") and not noise and not bad
         if good:
             flush()
+        if len(stack) >= MOST_OPEN and not bad and not good:
+            continue
         stack.append((name, bad, good))
+        open_[name] += 1
         noise += bad
         main += good
     flush()

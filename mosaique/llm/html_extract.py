@@ -1,11 +1,13 @@
 """Main text of web pages by what the pages of a host repeat (operator 6).
 
-Pages are scanned into blocks, and the token streams of a host's pages are searched for runs of RUN tokens that
-stand on two or more distinct pages: on a small host by a suffix array over the concatenated streams, sorted to a
-fixed depth so that equal runs lie side by side; on a large one by hashes of the runs, shuffled by host and run.
-Blocks or parts of blocks covered by such runs are boilerplate; the unique runs between them stay. That text stands
-in an article or main element is a hint: it stays though repeated, as articles are reprinted. Elements for menus,
-notices, adverts, forms or comments are never main text.
+Pages are scanned into blocks, and the token streams of a host's pages are searched for runs of RUN or more tokens
+that stand on two or more distinct pages: on a small host by a suffix array over the concatenated streams, on a
+large one by hashes of the runs, shuffled by host and run. A token lies in such a repeat, however long, just when
+it lies in one of exactly RUN tokens, so suffixes are sorted to that depth: equal ones then lie side by side. Blocks
+or parts of blocks covered by repeats are boilerplate; the unique runs between them stay. That text stands in an
+article or main element is a hint: it is content wherever it is reprinted, so it stays and is not searched.
+Elements for menus, notices, adverts, forms or comments are never main text, but are searched as all else is, so
+that a notice in such an element on one page is known in a plain one on another.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .html_blocks import Block, blocks
 #: Tokens in a long run (a power of two), and pages of a host that are held together, about; results do not depend
 #: on the latter.
 RUN, PAGES = 8, 256
-#: Groups of pages whose runs share a bucket.
-GROUPS_PER_BUCKET = 16
+#: Groups of pages whose runs share a bucket, and groups that one task works on, about.
+GROUPS_PER_BUCKET, GROUPS_PER_TASK = 16, 8
 #: Hosts with more than PAGES pages that may be broadcast, at most; beyond it they are joined.
 BROADCAST_HOSTS = 50_000
 
@@ -78,19 +80,22 @@ def _whole_runs(mask: np.ndarray, run: int = RUN) -> np.ndarray:
 
 
 def main_texts(parsed: list[list[Block]], masks: list[np.ndarray] | None = None) -> list[str]:
-    """The main text of each of some pages of one host; masks as of `repeated`, by default over these pages."""
-    split = [[b.text.split(" ") for b in page] for page in parsed]
+    """The main text of each of some pages of one host; masks as of `repeated` over the streams of these pages."""
     masks = repeated([_stream(page) for page in parsed]) if masks is None else masks
     out = []
-    for page, cut, mask in zip(parsed, split, masks, strict=True):
+    for page, mask in zip(parsed, masks, strict=True):
         kept, at = [], 0
-        for block, tokens in zip(page, cut, strict=True):
+        for block in page:
+            if block.main and not block.noise:
+                kept.append(block.text)
+                continue
+            tokens = block.text.split(" ")
             covered = mask[at : at + len(tokens)]
             at += len(tokens)
             if block.noise:
                 continue
             unique = ~_whole_runs(covered)
-            if block.main or unique.all():
+            if unique.all():
                 kept.append(block.text)
             elif unique.any():
                 kept.append(" ".join(t for t, u in zip(tokens, unique.tolist(), strict=True) if u))
@@ -99,7 +104,8 @@ def main_texts(parsed: list[list[Block]], masks: list[np.ndarray] | None = None)
 
 
 def _stream(page: list[Block]) -> list[str]:
-    return [t for b in page for t in b.text.split(" ")]
+    """The tokens that are searched: all outside main text."""
+    return [t for b in page if b.noise or not b.main for t in b.text.split(" ")]
 
 
 def _packed(page: list[Block]) -> bytes:
@@ -264,8 +270,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     seen in two groups are looked at again by 64-bit hashes and distinct pages, and come back to their groups."""
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
     rows = pages.select(F.col(key).alias("row_key"), F.col(url).cast("string").alias("row_url"), F.coalesce(F.col(html), F.lit("")).alias("page"), host.alias("host"))
-    large = rows.groupBy("host").count().filter(F.col("count") > PAGES).select("host", F.ceil(F.col("count") / PAGES).alias("arrays"))
-    number = large.count()
+    hosts = rows.groupBy("host").count()
+    large = hosts.filter(F.col("count") > PAGES).select("host", F.ceil(F.col("count") / PAGES).alias("arrays"))
+    sized = hosts.agg(F.count_if(F.col("count") > PAGES).alias("large"), F.coalesce(F.sum("count"), F.lit(0)).alias("pages")).first()
+    number, spark = sized["large"], pages.sparkSession
     rows = rows.join(F.broadcast(large) if number <= BROADCAST_HOSTS else large, "host", "left").withColumn("arrays", F.coalesce("arrays", F.lit(1)))
     rows = rows.select("row_key", "row_url", "host", "arrays", F.pmod(F.xxhash64("row_key", "row_url"), "arrays").alias("salt"), "page")
     kind = pages.schema[key].dataType.simpleString()
@@ -282,14 +290,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         found = main_texts(parsed, _Runs(parsed).masks(_sent(shared)) if _large(group) else None)
         return pa.table([group.column("row_key"), group.column("row_url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["row_key", "row_url", "text", "n_chars"])
 
-    groups = rows.mapInArrow(scan, f"row_key {kind}, row_url string, host string, arrays long, salt long, packed binary").groupBy("host", "salt")
+    # a task's share stays the same however many pages there are
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sized["pages"] // (PAGES * GROUPS_PER_TASK)))
+
+    def dealt(df: DataFrame, *by: str):
+        return df.repartition(tasks, *by).groupBy(*by)
+
+    groups = dealt(rows.mapInArrow(scan, f"row_key {kind}, row_url string, host string, arrays long, salt long, packed binary"), "host", "salt")
     schema = f"row_key {kind}, row_url string, text string, n_chars long"
     if number:
         buckets, shared = "host string, bucket long, salt long, runs binary, owners binary", "host string, salt long, runs binary"
-        slots = groups.applyInArrow(lambda t: _first_look(t), buckets).groupBy("host", "bucket").applyInArrow(lambda t: _shared(t), shared)
-        runs = groups.cogroup(slots.groupBy("host", "salt")).applyInArrow(lambda t, s: _second_look(t, s), buckets)
-        repeats = runs.groupBy("host", "bucket").applyInArrow(lambda t: _shared(t), shared)
-        out = groups.cogroup(repeats.groupBy("host", "salt")).applyInArrow(lambda t, s: texts(t, s), schema)
+        slots = dealt(groups.applyInArrow(lambda t: _first_look(t), buckets), "host", "bucket").applyInArrow(lambda t: _shared(t), shared)
+        runs = groups.cogroup(dealt(slots, "host", "salt")).applyInArrow(lambda t, s: _second_look(t, s), buckets)
+        repeats = dealt(runs, "host", "bucket").applyInArrow(lambda t: _shared(t), shared)
+        out = groups.cogroup(dealt(repeats, "host", "salt")).applyInArrow(lambda t, s: texts(t, s), schema)
     else:
         out = groups.applyInArrow(lambda t: texts(t), schema)
     return out.withColumnsRenamed({"row_key": key, "row_url": url})

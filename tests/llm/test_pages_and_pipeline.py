@@ -28,6 +28,9 @@ from mosaique.llm.queries import QUERIES, SQL
         ("<ARTICLE CLASS=ad><P>One <P>Two <LI>3<LI>4</ARTICLE>", ["One", "Two", "3", "4"]),
         ("<article><p>cut <b>off", ["cut off"]),
         ("<article><p>tag <a href=\"x>y\">in > quotes</a> <", ["tag in > quotes <"]),
+        ("<main><p title=don't>hello world</p><p>it's fine</p></main>", ["hello world", "it's fine"]),
+        ("<main><p title=\"never closed>hello</p><p>more</p></main>", ["hello", "more"]),
+        ("<main><p title = 'a > b' class=x>hello</p><p data-x='class=ad' title=\"id=menu\">stays</p><p class = ad>gone</p></main>", ["hello", "stays"]),
     ],
 )
 def test_blocks(page, want):
@@ -35,6 +38,16 @@ def test_blocks(page, want):
     assert [b.text for b in found if (b.main or not any(x.main for x in found)) and not b.noise] == want
 
 
+def test_deep_and_unclosed_pages():
+    import time
+
+    began = time.perf_counter()
+    deep = "<b>" * 30_000 + "<div>" * 30_000 + "text" + "</b></p></i>" * 30_000 + "<nav>" * 2000 + "menu" + "</span></nav>" * 2000 + "<p>end"
+    assert [(b.text, b.noise) for b in blocks(deep)] == [("text", False), ("menu", True), ("end", False)]
+    assert [b.text for b in blocks("<p title='" * 20_000 + ">x")] == ["x"]
+    assert time.perf_counter() - began < 20
+
+
 def brute_repeated(streams, run):
     pages = list(dict.fromkeys(tuple(s) for s in streams))
     seen = {}
@@ -83,6 +96,31 @@ def test_story_beside_an_article(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {i: f"Story {i} of its own words {i * 7} Teaser {i}" for i in range(4)}
 
 
+def test_article_text_is_content_wherever_it_is_reprinted(spark):
+    story, notice = " ".join(f"word{i}" for i in range(30)), "we use small files on this site to count visits"
+    rows = [
+        (0, "http://h.example/0", f"<article><p>{story}</p></article><div>{notice}</div>"),
+        (1, "http://h.example/1", f"<div>{story}</div><div class=notice>{notice}</div>"),
+        (2, "http://h.example/2", f"<main>{story}</main>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {0: story, 1: story, 2: story}
+
+
+def test_hosts_of_200_and_2000_pages_agree(spark):
+    def pages(n, start):
+        rows = []
+        for i in range(n):  # pages 2 k and 2 k + 1 share a run of 12 words
+            pair = " ".join(f"s{i // 2}x{k}" for k in range(12))
+            own = " ".join(f"o{i}y{k}" for k in range(9))
+            rows.append((start + i, f"http://host{n}.example/{i}", f"<div>{own}</div><div>{pair}</div>"))
+        return rows
+
+    rows = spark.createDataFrame(pages(200, 0) + pages(2000, 1000), "page_id long, url string, html string")
+    got = html_extract.extract(rows).collect()
+    assert len(got) == 2200 and not [r["page_id"] for r in got if "x" in r["text"] or not r["text"].startswith("o")]
+
+
 def test_large_host_is_as_one_array(spark, monkeypatch):
     rng = random.Random(5)
     prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(n))
