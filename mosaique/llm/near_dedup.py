@@ -2,88 +2,156 @@
 
 U small collections of R minhashes each are computed once; a table stands for each pair of collections, and its
 key combines the two. So U R minhashes make U (U - 1) / 2 tables, of keys as selective as 2 R minhashes. Two sets
-share a key if two of the collections agree, which at a similarity of 0.8 fails for one pair in 25,000.
-
-Sets that are equal are one node. In each bucket every node is held against the bucket's leader, its smallest
-node, so candidates grow with the number of rows, not with the square of a bucket. Verified links make
-components. A bucket whose nodes are all in one component needs no more. In the others, nodes of different
-components are compared by their minhashes in blocks. The largest component in a bucket is its hub: nodes that may
-be similar to one of the hub's are noted once, beside the hub, and of other pairs only those that are not both
-beside it. What stands beside a hub is then verified on full sets, against blocks of the hub's members and of what
-stands beside it too. So no link that could join two components is left out, and neither the links inside a
-component nor the pairs of a group are listed.
+share a key if two of the collections agree; U is the least number for which that fails for at most one pair of
+MISSED at the threshold (13 collections of 2, or 78 tables, at 0.8).
+
+Sets that are equal are one node. In each bucket every node is held against a leader, so candidates grow with the
+number of rows, not with the square of a bucket. Nodes that one batch of a task has in a bucket are held against
+the smallest of them there, and only that one goes on to the bucket, so that a bucket with a third of all nodes is
+folded before anything is shuffled. Verified links make components. A bucket whose nodes are all in one component
+needs no more. The others are dealt into cells: the component with most nodes in the bucket is its hub, the other
+nodes are the outside, and each cell has a block of the outside beside a block of the hub or of the outside. Cells
+have a bounded size and are spread over all tasks. In a cell minhashes tell which nodes of different components may
+be similar, and each cell names them by groups, one row for a node. The groups are dealt into cells in the same way,
+now with full sets, where links are verified and a spanning forest of them leaves each cell. So no link that could
+join two components is left out, and neither the links inside a component nor the pairs of a group are listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, utf8_view
+from .common import forget, pieces_of, stored, utf8_view
 from .components import components
-from .shingles import minhashes, mix, node_of, shingle_sets
-
-#: Collections, minhashes in each, further minhashes that only sift candidates.
-U, R, SIFT = 13, 2, 64
-#: Of all U R + SIFT minhashes so many must agree: 4.5 standard deviations below what 0.8 gives.
-AGREE = 55
-#: Bytes kept of a set's minhashes: those of the collections whole, one byte of each other.
-KEPT = 4 * U * R + SIFT
-CHUNK_BYTES, BLOCK, RUN_BLOCK = 1 << 20, 64, 512
-_PAIRS = [(i, j) for i in range(U) for j in range(i + 1, U)]
-
-
-def _signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """row_key, n (set size), node (null for empty sets) and mins of each row."""
+from .shingles import minhashes, mix, set_digest, shingle_sets
+
+#: Minhashes that only sift candidates; of all minhashes so many may agree less than a pair at the threshold has, in
+#: standard deviations; a pair at the threshold shares no key once in so many cases.
+SIFT, DEVIATIONS, MISSED = 64, 4.5, 20_000
+CHUNK_BYTES, RUN_BLOCK = 1 << 20, 512
+#: Nodes, and members of full sets, in a block of a cell, about.
+CELL_NODES, CELL_MEMBERS = 1024, 1 << 17
+#: Over so many keys a hot key is spread where rows are joined to what is known of their group.
+SALTS = 32
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Collections, minhashes in each, and how many of all minhashes a pair must have in common."""
+
+    collections: int
+    each: int
+    agree: int
+
+    @staticmethod
+    @lru_cache(maxsize=8)
+    def of(percent: int) -> Layout:
+        each = 2 if percent >= 80 else 1
+        p = (percent / 100) ** each
+        u = 2
+        while p < 1 and (1 - p) ** u + u * p * (1 - p) ** (u - 1) > 1 / MISSED:
+            u += 1
+        n = u * each + SIFT
+        mean, deviation = n * percent / 100, (n * percent / 100 * (1 - percent / 100)) ** 0.5
+        return Layout(u, each, max(0, round(mean - DEVIATIONS * deviation)))
+
+    @property
+    def banded(self) -> int:
+        return self.collections * self.each
+
+    @property
+    def count(self) -> int:
+        """All minhashes."""
+        return self.banded + SIFT
+
+    def keys(self, mins: np.ndarray) -> Iterator[np.ndarray]:
+        """For each table the keys of some rows of minhashes."""
+        mins = mins.astype(np.uint64)
+        small = []
+        for c in range(self.collections):
+            held = mins[:, c * self.each]
+            for k in range(1, self.each):
+                held = held << np.uint64(32) | mins[:, c * self.each + k]
+            small.append(mix(held))
+        pairs = [(i, j) for i in range(self.collections) for j in range(i + 1, self.collections)]
+        for t, (i, j) in enumerate(pairs):
+            yield mix(small[i] * np.uint64(0x9E3779B97F4A7C15) + small[j] + np.uint64(t + 1)).view(np.int64)
+
+
+def _signatures(docs: DataFrame, key: str, text: str, words: int, layout: Layout) -> DataFrame:
+    """row_key, n (set size), digest (null for empty sets), mins (of the tables) and marks (a byte of each minhash)
+    of each row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, 1, CHUNK_BYTES):
                 sets = shingle_sets(*utf8_view(part.column(1)), words)
-                full = [s for s in sets if len(s)]
-                found = minhashes(full, U * R + SIFT)
-                rows = iter(np.concatenate([found[:, : U * R].copy().view(np.uint8), found[:, U * R :].astype(np.uint8)], axis=1))
-                mins = [next(rows).tobytes() if len(s) else None for s in sets]
+                found = minhashes((s for s in sets if len(s)), layout.count)
+                mins, marks = iter(np.ascontiguousarray(found[:, : layout.banded])), iter(found.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(mins, pa.binary())],
-                    ["row_key", "n", "node", "mins"],
+                    [
+                        part.column(0),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([next(mins).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([next(marks).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    ["row_key", "n", "digest", "mins", "marks"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"row_key {kind}, n long, node long, mins binary")
+    return docs.select(key, text).mapInArrow(run, f"row_key {kind}, n long, digest binary, mins binary, marks binary")
 
 
-def _mins(column: pa.Array) -> np.ndarray:
-    """Bytes of the minhashes, a row for each set."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), KEPT)
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
 
 
-def _marks(mins: np.ndarray) -> np.ndarray:
-    """One byte of each minhash."""
-    return np.concatenate([mins[:, : 4 * U * R : 4], mins[:, 4 * U * R :]], axis=1)
+def _batch_keys(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each table of each batch (node, mins): the keys and nodes in order, and the place where each key begins."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column(0).to_numpy()
+        mins = _bytes(batch.column(1), 4 * layout.banded).view(np.uint32)
+        for key in layout.keys(mins):
+            order = np.lexsort((node, key))
+            key_, node_ = key[order], node[order]
+            starts = np.concatenate([[True], key_[1:] != key_[:-1]])
+            yield key_, node_, np.maximum.accumulate(np.where(starts, np.arange(len(key_)), 0))
 
 
-def _table_keys(nodes: DataFrame) -> DataFrame:
-    """A row (key, node) for each table."""
+def _leaders_of_batches(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """A row (key, node) for each table and each smallest node of a key in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                mins = _mins(part.column(1))[:, : 4 * U * R].copy().view(np.uint32).astype(np.uint64)
-                ids = part.column(0)
-                small = [mix(mins[:, R * c] << np.uint64(32) | mins[:, R * c + 1]) for c in range(U)]
-                keys = [mix(small[i] * np.uint64(0x9E3779B97F4A7C15) + small[j] + np.uint64(t + 1)).view(np.int64) for t, (i, j) in enumerate(_PAIRS)]
-                for key in keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), ids], ["key", "node"])
+        for key, node, begin in _batch_keys(batches, layout):
+            first = begin == np.arange(len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(node[first])], ["key", "node"])
 
     return nodes.select("node", "mins").mapInArrow(run, "key long, node long")
 
 
+def _shared_in_batches(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """key, node and leader (the smallest node) of the keys that more than one node of a batch has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, begin in _batch_keys(batches, layout):
+            many = np.bincount(begin, minlength=len(key))[begin] > 1
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many]), pa.array(node[begin[many]])], ["key", "node", "leader"])
+
+    return nodes.select("node", "mins").mapInArrow(run, "key long, node long, leader long")
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and node: those of keys with more than one node, and their leader. One row is held back."""
     held: tuple[int, int, bool] | None = None  # key, leader and whether the leader's own row is out
@@ -102,33 +170,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (int(key[-1]), int(leader[-1]), bool(out[-1]))
 
 
-def _sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _sift(pairs: DataFrame, nodes: DataFrame, percent: int, layout: Layout) -> DataFrame:
     """Of pairs (a, b, ...) those whose sizes and minhashes let them be similar."""
     names = pairs.columns
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("mins").alias("_m"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("_k"), F.col("mins").alias("_l"))
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_m"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("_k"), F.col("marks").alias("_l"))
     sized = pairs.join(left, "a").join(right, "b").filter(F.least("_n", "_k") * 100 >= F.greatest("_n", "_k") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_marks(_mins(batch.column(0))) == _marks(_mins(batch.column(1)))).sum(axis=1) >= AGREE
+                near = (_bytes(batch.column(0), layout.count) == _bytes(batch.column(1), layout.count)).sum(axis=1) >= layout.agree
                 yield pa.RecordBatch.from_arrays([c for c in batch.columns[2:]], names).filter(pa.array(near))
 
     return sized.select("_m", "_l", *names).mapInArrow(run, pairs.schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """node and its set (hashes as bytes) for the rows whose keys are wanted (row_key)."""
-    rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("body")).join(wanted, "row_key").select("body")
+def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
+    """node and its set (hashes as bytes) for the wanted (digest, node). Sets are made again from the texts and come
+    by their digests, whatever the keys of the rows; copies are folded in each batch, then in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[bytes] = set()
             for part in pieces_of(batch, 0, CHUNK_BYTES):
-                sets = [s for s in shingle_sets(*utf8_view(part.column(0)), words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+                found = {set_digest(s): s for s in shingle_sets(*utf8_view(part.column(0)), words) if len(s)}
+                new = {name: s.tobytes() for name, s in found.items() if name not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["digest", "members"])
 
-    return rows.mapInArrow(run, "node long, members binary")
+    made = docs.select(text).mapInArrow(run, "digest binary, members binary").groupBy("digest").agg(F.first("members").alias("members"))
+    return stored(made.join(wanted, "digest").select("node", "members"), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,97 +220,141 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, component, size, n, mins) sorted by key; gives (component, node): what to hold against what."""
+def _spread(rows: DataFrame, known: DataFrame, on: str, by: str) -> DataFrame:
+    """rows joined to what is known of each value of a column (unique there), so that a hot value is SALTS keys."""
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
 
-    def run(node: np.ndarray, component: np.ndarray, size: np.ndarray, n: np.ndarray, mins: np.ndarray) -> pa.RecordBatch | None:
-        names, of, counts = np.unique(component, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return None
-        low = _marks(mins)
-        first = np.unique(of, return_index=True)[1]
-        hub = max(range(len(names)), key=lambda c: (size[first[c]], names[c]))
-        common = counts.argmax()
-
-        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Pairs of rows that their components, sizes and minhashes let be similar."""
-            found = [np.zeros((2, 0), dtype=np.int64)]
-            for i in range(0, len(a), RUN_BLOCK):
-                for j in range(0, len(b), RUN_BLOCK):
-                    p, q = a[i : i + RUN_BLOCK], b[j : j + RUN_BLOCK]
-                    x, y = np.nonzero((of[p][:, None] != of[q]) & (np.minimum(n[p][:, None], n[q]) * 100 >= np.maximum(n[p][:, None], n[q]) * percent))
-                    for k in range(0, len(x), 1 << 18):
-                        u, v = p[x[k : k + (1 << 18)]], q[y[k : k + (1 << 18)]]
-                        good = (low[u] == low[v]).sum(axis=1) >= AGREE
-                        found.append(np.stack([u[good], v[good]]))
-            return tuple(np.concatenate(found, axis=1))
-
-        inside = np.flatnonzero(of == hub)
-        outside = np.flatnonzero(of != hub)
-        beside = np.unique(near(outside, inside)[0])
-        noted = np.zeros(len(node), dtype=bool)
-        noted[beside] = True
-        # pairs inside the commonest component need no look, and those of two noted nodes are seen to at the hub
-        p, q = near(outside[of[outside] != common], outside)
-        rest = ~(noted[p] & noted[q])
-        p, q = p[rest], q[rest]
-        swap = (size[p] > size[q]) | ((size[p] == size[q]) & (component[p] > component[q]))
-        p, q = np.where(swap, q, p), np.where(swap, p, q)  # q stands in the larger component
-        to = np.concatenate([np.full(len(beside), names[hub]), component[q]])
-        who = np.concatenate([node[beside], node[p]])
-        if not len(who):
-            return None
-        out = np.unique(np.stack([to, who]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["component", "node"])
-
-    held = None
+
+def _cells(rows: DataFrame, group: str, weight: str, limit: int) -> DataFrame:
+    """rows (a group, node, component, a weight, ...) dealt into cells: i and j name a cell of the group, inner says
+    that a row is of block j. Groups of one component have none.
+
+    The component of the most weight in a group is its hub. Cell (i, j) has block i of the other rows beside block j;
+    blocks of the hub are numbered after those of the other rows. So two rows of different components meet in one
+    cell, in that of i = j if they are of one block, and rows of the hub are never held against each other."""
+    per = rows.groupBy(group, "component").agg(F.sum(weight).alias("w"))
+    stats = per.groupBy(group).agg(F.max(F.struct("w", "component")).alias("hub"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    stats = stats.select(
+        group,
+        F.col("hub.component").alias("_hub"),
+        F.ceil((F.col("all") - F.col("hub.w")) / limit).alias("_outer"),
+        F.ceil(F.col("hub.w") / limit).alias("_inner"),
+    )
+    dealt = _spread(rows, stats, group, "node").withColumn("_of_hub", F.col("component") == F.col("_hub"))
+    block = F.when(F.col("_of_hub"), F.col("_outer") + F.pmod(F.xxhash64("node"), "_inner")).otherwise(F.pmod(F.xxhash64("node"), "_outer"))
+    beside = F.when(F.col("_of_hub"), F.col("_outer")).otherwise(F.col("_outer") + F.col("_inner"))
+    dealt = dealt.withColumn("_block", block).withColumn("_beside", F.explode(F.sequence(F.lit(0).cast("long"), beside - 1)))
+    dealt = dealt.withColumn("i", F.least("_block", "_beside")).withColumn("j", F.greatest("_block", "_beside")).withColumn("inner", (F.col("_block") == F.col("j")) & (F.col("i") != F.col("j")))
+    return dealt.select(group, "i", "j", "inner", *(c for c in rows.columns if c != group))
+
+
+def _by_cell(cells: DataFrame, group: str) -> DataFrame:
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that follow each other and agree in the first three columns, without these."""
+    held: list[pa.RecordBatch] = []
+    name = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy() for c in batch.columns[:5]] + [_mins(batch.column(5))]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist()]
+        names = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            if end - start > 1 and (made := run(*(c[start:end] for c in columns[1:]))) is not None:
-                yield made
-        held = [c[cuts[-1] :] for c in columns]
-    if held is not None and (made := run(*held[1:])) is not None:
-        yield made
-
-
-def _blocks(rows: DataFrame, count: DataFrame, name: str) -> DataFrame:
-    """Rows (component, node, inner, members) as lists of about BLOCK by component; count has rows (component, rows)."""
-    dealt = rows.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK)))
-    return dealt.groupBy("component", "block").agg(F.collect_list(F.struct("node", "inner", "members")).alias(name)).drop("block")
+            this = tuple(names[:, start].tolist())
+            if held and this != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = this
+            held.append(batch.slice(start, end - start).select(batch.schema.names[3:]))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that pairs (a, b) connect it to."""
+    name = np.arange(n)
+    while True:
+        low = np.minimum(name[a], name[b])
+        new = name.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == name).all():
+            return name
+        name = new
+
+
+def _near_groups(batches: Iterator[pa.RecordBatch], percent: int, layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Cells of rows (inner, node, component, n, marks): group, node, component and n of the nodes that sizes and
+    minhashes let be similar to one of another component in the cell. Nodes that are near each other, directly or by
+    others, are one group, named by its smallest node."""
+    for cell in _each_cell(batches):
+        inner, node, component, n = (cell.column(c).to_numpy() for c in range(4))
+        order = np.argsort(node, kind="stable")
+        inner, node, component, n = inner[order], node[order], component[order], n[order]
+        if component.min() == component.max():
+            continue
+        low = _bytes(cell.column(4).combine_chunks(), layout.count)[order]
+        left, right = (np.flatnonzero(~inner), np.flatnonzero(inner)) if inner.any() else (np.arange(len(node)),) * 2
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for i in range(0, len(left), RUN_BLOCK):
+            for j in range(0, len(right), RUN_BLOCK):
+                p, q = left[i : i + RUN_BLOCK], right[j : j + RUN_BLOCK]
+                fits = np.minimum(n[p][:, None], n[q]) * 100 >= np.maximum(n[p][:, None], n[q]) * percent
+                x, y = np.nonzero((component[p][:, None] != component[q]) & fits)
+                for k in range(0, len(x), 1 << 18):
+                    u, v = p[x[k : k + (1 << 18)]], q[y[k : k + (1 << 18)]]
+                    good = (low[u] == low[v]).sum(axis=1) >= layout.agree
+                    found.append(np.stack([u[good], v[good]]))
+        a, b = np.concatenate(found, axis=1)
+        if not len(a):
+            continue
+        name, seen = _joined(len(node), a, b), np.unique(np.concatenate([a, b]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[name[seen]], node[seen], component[seen], n[seen])], ["group", "node", "component", "n"])
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between the nodes of two lists. One to an inner node is enough, as those are one component."""
-    for batch in batches:
-        for k in range(batch.num_rows):  # a row at a time is in memory as Python objects
-            left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            sets = [np.frombuffer(r["members"], dtype=np.uint64) for r in right]
-            sizes = np.array([len(s) for s in sets])
-            names = np.array([r["node"] for r in right])
-            inner = np.array([r["inner"] for r in right])
-            values, where = np.unique(np.concatenate(sets), return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            owner = np.repeat(np.arange(len(sets)), sizes)[order]
-            first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
-            links = []
-            for r in left:
-                x = np.frombuffer(r["members"], dtype=np.uint64)
-                at = np.searchsorted(values, x)
-                at = at[values[np.minimum(at, len(values) - 1)] == x]
-                counts = first[at + 1] - first[at]
-                each = np.repeat(first[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                both = np.bincount(owner[each], minlength=len(sets))
-                good = (100 * both >= percent * (len(x) + sizes - both)) & (names != r["node"])
-                links += [(r["node"], b) for b in names[good & inner][:1].tolist()]
-                links += [(r["node"], b) for b in names[good & ~inner & (names > r["node"])].tolist()]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+def _verified_in_cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Cells of rows (inner, node, component, members): links (a, b) that connect the components of all nodes of
+    different ones whose full sets are similar."""
+    for cell in _each_cell(batches):
+        inner, node, component = (cell.column(c).to_numpy() for c in range(3))
+        names, of = np.unique(component, return_inverse=True)
+        if len(names) < 2:
+            continue
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in cell.column(3)]
+        left, right = (np.flatnonzero(~inner), np.flatnonzero(inner)) if inner.any() else (np.arange(len(node)),) * 2
+        sizes = np.array([len(sets[i]) for i in right])
+        values, where = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        owner = np.repeat(np.arange(len(right)), sizes)[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
+        links: list[tuple[int, int]] = []
+        made = np.arange(len(names))  # what the components of the cell are joined to so far
+        for i in left.tolist():
+            wanted = made[of[right]] != made[of[i]]
+            if not wanted.any():
+                continue
+            at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+            at = at[values[at] == sets[i]]
+            counts = first[at + 1] - first[at]
+            both = np.zeros(len(right), dtype=np.int64)
+            ends = np.cumsum(counts)
+            cuts = [0, *np.unique(np.searchsorted(ends, np.arange(1 << 22, int(ends[-1]) if len(ends) else 0, 1 << 22))).tolist(), len(at)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):  # a common member's owners are spelt out some at a time
+                c = counts[x:y]
+                each = np.repeat(first[at[x:y]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                both += np.bincount(owner[each], minlength=len(right))
+            good = np.flatnonzero(wanted & (100 * both >= percent * (len(sets[i]) + sizes - both)))
+            for j in good.tolist():
+                x, y = made[of[i]], made[of[right[j]]]
+                if x != y:
+                    links.append((int(node[i]), int(node[right[j]])))
+                    made[made == max(x, y)] = min(x, y)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,21 +364,21 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     the whole sequence is one shingle. Sets with a Jaccard similarity of percent / 100 or more are linked,
     component_id is the smallest key reachable and the row of that key stays. Null texts and texts without words
     have empty sets, are linked with nothing and stay. Null keys are ignored for component_id unless a component
-    has no other. Repeated rows are links of their own; rows with the key that stays all stay. percent must be 80
-    or more, as fewer tables agree below that."""
-    if percent < 80:
-        raise ValueError("the tables are laid out for similarities of 0.8 and more")
-    signed = stored(_signatures(docs, key, text, words), "signatures")
-    full = signed.filter("node IS NOT NULL")
-    nodes = stored(full.groupBy("node").agg(F.min("row_key").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")), "nodes")
+    has no other. Repeated rows are links of their own; rows with the key that stays all stay. Texts are whole, in
+    chunks of rows. The lower percent is, the more tables are made: 78 at 80, 190 at 50."""
+    layout = Layout.of(percent)
+    signed = stored(_signatures(docs, key, text, words, layout), "signatures")
+    full = signed.filter("digest IS NOT NULL")
+    firsts = full.groupBy("digest").agg(F.min("row_key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "mins", "marks")))
+    nodes = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_keys = _table_keys(nodes).repartition(partitions, "key").sortWithinPartitions("key", "node")
-    shared = stored(sorted_keys.mapInArrow(_shared, "key long, node long, leader long"), "shared-keys")
+    sorted_keys = _leaders_of_batches(nodes, layout).repartition(partitions, "key").sortWithinPartitions("key", "node")
+    shared = sorted_keys.mapInArrow(_shared, "key long, node long, leader long").unionByName(_shared_in_batches(nodes, layout))
+    shared = stored(shared, "shared-keys")
 
     counted = shared.filter("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("tables"))
-    sifted = stored(_sift(counted, nodes, percent), "candidates")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("row_key")).distinct()
-    sets = stored(_sets(docs, wanted, key, text, words), "sets")
+    sifted = stored(_sift(counted, nodes, percent, layout), "candidates")
+    sets = _sets(docs, shared.select("node").distinct().join(nodes.select("node", "digest"), "node"), text, words)
 
     best = sifted.groupBy("a").agg(F.max_by("b", F.struct("tables", "b")).alias("b"))
     edges = stored(_verify(best, sets, percent), "links")
@@ -276,29 +392,32 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     rest = named(named(sifted.select("a", "b"), "a", "p"), "b", "q").filter("p <> q").select("a", "b")
     more = stored(_verify(rest, sets, percent), "links")
     edges = edges.unionByName(more)
+    forget(sifted)
     groups = stored(components(edges), "components") if not more.isEmpty() else groups
 
-    members = stored(named(shared.select("key", "node"), "node", "component"), "members")
+    members = named(shared.select("key", "node"), "node", "component")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(mixed, "key").join(sizes, "component", "left").join(nodes.select("node", "n", "mins"), "node")
-    rows = rows.select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size"), "n", "mins").repartition(partitions, "key").sortWithinPartitions("key")
-    beside = stored(rows.mapInArrow(lambda batches: _adjacent(batches, percent), "component long, node long").distinct(), "beside")
-    if not beside.isEmpty():
-        per = beside.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
-        left = _blocks(beside.join(sets, "node").withColumn("inner", F.lit(False)), per, "left")
-        alone = per.select(F.col("component").alias("node"), "component")
-        linked = groups.select("node", "component").join(per.select("component"), "component").select("node", "component")
-        held = alone.unionByName(linked).distinct().withColumn("inner", F.lit(True)).unionByName(beside.select("node", "component").withColumn("inner", F.lit(False)))
-        right = _blocks(held.join(sets, "node"), held.groupBy("component").agg(F.count(F.lit(1)).alias("rows")), "right")
-        found = left.join(right, "component").select("left", "right").mapInArrow(lambda batches: _verify_blocks(batches, percent), "a long, b long")
-        late = stored(found, "links")
+    # of buckets that hold more than one component: all their nodes, once
+    members = stored(_spread(members, mixed, "key", "node").groupBy("key", "node").agg(F.first("component").alias("component")), "members")
+    forget(shared)
+    cells = _cells(members.join(nodes.select("node", "n", "marks"), "node").withColumn("one", F.lit(1)), "key", "one", CELL_NODES)
+    near = _by_cell(cells.select("key", "i", "j", "inner", "node", "component", "n", "marks"), "key")
+    near = near.mapInArrow(lambda batches: _near_groups(batches, percent, layout), "group long, node long, component long, n long")
+    near = stored(near.distinct(), "near")
+    forget(members)
+    if not near.isEmpty():
+        cells = _cells(near, "group", "n", CELL_MEMBERS).select("group", "i", "j", "inner", "node", "component")
+        cells = _by_cell(cells.join(sets, "node").select("group", "i", "j", "inner", "node", "component", "members"), "group")
+        late = stored(cells.mapInArrow(lambda batches: _verified_in_cells(batches, percent), "a long, b long"), "links")
         if not late.isEmpty():
             groups = stored(components(edges.unionByName(late)), "components")
+    forget(near)
+    forget(sets)
 
-    labelled = stored(named(nodes.select("node", "rep"), "node", "component"), "labelled")
+    labelled = stored(named(nodes.select("node", "digest", "rep"), "node", "component"), "labelled")
+    forget(nodes)
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = labelled.join(smallest, "component").select("node", "component_id")
-    out = signed.select("row_key", "n", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("row_key")).otherwise(F.col("component_id"))
+    of_node = labelled.join(smallest, "component").select("digest", "component_id")
+    out = signed.select("row_key", "n", "digest").join(of_node, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("row_key")).otherwise(F.col("component_id"))
     return out.select(F.col("row_key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("row_key").eqNullSafe(component).alias("kept"))

@@ -1,27 +1,27 @@
-"""Sets of word shingles as sorted 64-bit hashes, and their minhashes, for chunks of texts at once."""
+"""Sets of word shingles as sorted 64-bit hashes, and their minhashes, for chunks of texts at once.
+
+A word's hash has two polynomials over its bytes, each modulo the prime 2**31 - 1, and for a long word it is the
+BLAKE2b digest; a shingle's is made of those of its words. Modulo a prime, words share a hash by chance alone, not by
+their form. A whole set is named by 128 bits of the digest of its hashes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 
-_RNG = np.random.default_rng(20240229)
-_BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+#: A-Z count as a-z.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
-
-
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _P), np.full(size, _INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: The prime, and the points at which the two polynomials are taken.
+_PRIME, _POINTS = np.uint64((1 << 31) - 1), (np.uint64(1_583_458_089), np.uint64(784_588_717))
+#: Words of more bytes are long.
+LONG_WORD = 96
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,19 +30,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text, given where it begins and its number of bytes."""
+    threes = np.lib.stride_tricks.as_strided(np.concatenate([text, np.zeros(4, np.uint8)]), (len(text) + 1, 4), (1, 1))
+    sums = [size.astype(np.uint64) + np.uint64(1) for _ in _POINTS]
+    live, at, left = np.flatnonzero(size <= LONG_WORD), start, size
+    at, left = at[live], left[live]
+    while len(live):
+        value = threes[at].view("<u4").ravel()
+        value &= np.where(left >= 3, np.uint32(0xFFFFFF), (np.uint32(1) << (left * 8).astype(np.uint32)) - np.uint32(1))
+        for held, point in zip(sums, _POINTS, strict=True):
+            x = held[live] * point + value
+            x = (x & _PRIME) + (x >> np.uint64(31))
+            held[live] = (x & _PRIME) + (x >> np.uint64(31))
+        more = left > 3
+        live, at, left = live[more], at[more] + 3, left[more] - 3
+    x, y = (np.where(held >= _PRIME, held - _PRIME, held) for held in sums)
+    out = mix(x << np.uint64(32) | y)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(text[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """For each text its sorted distinct shingle hashes. A text with fewer words has its whole sequence as one
     shingle; without words it has none."""
     n = len(offsets) - 1
-    text = np.insert(data, offsets[1:], 32)  # a space ends each text
+    text = _LOWER[np.insert(data, offsets[1:], 32)]  # a space ends each text
     ends = offsets[1:] + np.arange(1, n + 1)
-    size = 1 << max(20, int(len(text)).bit_length())
-    up, down = _powers(size)
-    space = _SPACE[text]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[text]])))
     start, stop = edge[0::2], edge[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[text] * up[: len(text)])])
-    word = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    word = word_hashes(text, start, stop - start)
     first = np.concatenate([[0], np.searchsorted(start, ends)])
     if len(word) >= words:
         code = word[: len(word) - words + 1].copy()
@@ -66,9 +84,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def node_of(values: np.ndarray) -> int:
-    """A signed 64-bit digest of a whole set."""
-    return int.from_bytes(blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_digest(values: np.ndarray) -> bytes:
+    """Names a whole set."""
+    return blake2b(values.tobytes(), digest_size=16).digest()
 
 
 @lru_cache(maxsize=4)
@@ -76,8 +94,9 @@ def _factors(count: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 63, count, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
+def minhashes(sets: Iterable[np.ndarray], count: int) -> np.ndarray:
     """A row of 32-bit minhashes for each set, none of which is empty."""
+    sets = list(sets)
     out = np.empty((len(sets), count), dtype=np.uint32)
     if not sets:
         return out
@@ -86,8 +105,3 @@ def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
     for j, factor in enumerate(_factors(count)):
         out[:, j] = np.minimum.reduceat((flat * factor) >> np.uint64(32), at)
     return out
-
-
-def similar(a: int, b: int, both: np.ndarray | int, percent: int) -> np.ndarray | bool:
-    """Whether sets of sizes a and b with so many common members reach a Jaccard similarity of percent / 100."""
-    return 100 * both >= percent * (a + b - both)

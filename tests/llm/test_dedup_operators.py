@@ -83,8 +83,81 @@ def test_near_dedup_small_cases(spark):
     keyless = make(spark, ["x y", "x y", "z"]).selectExpr("IF(doc_id = 1, NULL, doc_id) AS doc_id", "text")
     got = near_dedup.near_dedup(keyless, words=2).collect()
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in got) == [(False, 0), (False, 2), (True, 0)]
-    with pytest.raises(ValueError):
-        near_dedup.near_dedup(keyless, percent=70)
+    nowhere = spark.createDataFrame([(None, "a b c d e f g h i j k"), (None, "a b c d e f g h i j k l"), (3, "z"), (3, "a b"), (3, "y x w")], "doc_id long, text string")
+    got = near_dedup.near_dedup(nowhere, words=2).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(0, 10, None, True), (0, 11, None, True), (3, 1, 3, True), (3, 1, 3, True), (3, 2, 3, True)]
+
+
+@pytest.mark.parametrize("percent", [50, 65, 90, 100])
+def test_near_dedup_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    texts = [t for n, copies, edits in ((60, 12, (0, 9)), (150, 10, (5, 30)), (30, 6, (0, 2))) for t in family(rng, n, copies, edits)]
+    got = near_dedup.near_dedup(make(spark, texts), words=2, percent=percent).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, n, c) for i, (n, c) in enumerate(brute_components(texts, 2, percent))}
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    texts = []
+    for n in (32, 96, 128, 1024, 4096):
+        bits = [i.bit_count() & 1 for i in range(n)]
+        texts += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    texts += [f"{t} {t} {x}" for t in texts[:4] for x in "pq"]
+    got = near_dedup.near_dedup(make(spark, texts), words=2).collect()
+    want = brute_components(texts, 2, 80)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, c) for i, (_, c) in enumerate(want)} and all(c == i for i, (_, c) in enumerate(want))
+
+
+def test_buckets_of_many_components(spark, monkeypatch):
+    """Many texts around one passage: they share buckets, some are near copies, most are not."""
+    monkeypatch.setattr(near_dedup, "CELL_NODES", 16)
+    monkeypatch.setattr(near_dedup, "CELL_MEMBERS", 900)
+    monkeypatch.setattr(near_dedup, "RUN_BLOCK", 5)
+    rng = random.Random(12)
+    passage = " ".join(f"s{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"u{rng.randrange(99_999)}" for _ in range(rng.randint(6, 14))) for _ in range(160)]
+    texts += [" ".join(t.split()[: 60 + rng.randint(0, 20)]) for t in texts[:60]] + [" ".join(t.split()[k:]) for k, t in enumerate(texts[:12])]
+    rng.shuffle(texts)
+    got = near_dedup.near_dedup(make(spark, texts), words=2).collect()
+    want = brute_components(texts, 2, 80)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, c) for i, (_, c) in enumerate(want)}
+
+
+def test_cells_hold_bounded_blocks_and_every_pair(spark):
+    rows = spark.createDataFrame([(g, i, 0 if i % 3 else i, 1) for g in (1, 2) for i in range(200)] + [(3, i, 7, 1) for i in range(50)], "key long, node long, component long, one int")
+    cells = near_dedup._cells(rows, "key", "one", 20).collect()
+    held = defaultdict(list)
+    for r in cells:
+        held[r["key"], r["i"], r["j"]].append((r["node"], r["component"], r["inner"]))
+    assert {k[0] for k in held} == {1, 2} and max(map(len, held.values())) < 80
+    met = defaultdict(int)
+    for (g, i, j), members in held.items():
+        for a, x, inner in members:
+            for b, y, other in members:
+                if a < b and x != y and (i == j or inner != other):
+                    met[g, a, b] += 1
+    want = [(g, a, b) for g in (1, 2) for a in range(200) for b in range(a + 1, 200) if (0 if a % 3 else a) != (0 if b % 3 else b)]
+    assert dict(met) == dict.fromkeys(want, 1)
+
+
+def test_recall_of_tables_and_sift():
+    """Pairs at the threshold and a little above: the tables and the sift keep all but a few in ten thousand."""
+    import numpy as np
+
+    from mosaique.llm.shingles import minhashes
+
+    layout, rng, missed = near_dedup.Layout.of(80), np.random.default_rng(3), 0
+    assert (layout.collections, layout.each, layout.agree) == (13, 2, 55)
+    for _ in range(10):
+        sets = []
+        for _ in range(500):
+            both, own = rng.integers(0, 1 << 64, 80, dtype=np.uint64), rng.integers(0, 1 << 64, (2, 10), dtype=np.uint64)
+            sets += [np.sort(np.concatenate([both, own[k]])) for k in (0, 1)]  # 80 of 100
+        found = minhashes(sets, layout.count)
+        keys = np.stack(list(layout.keys(found[:, : layout.banded])))
+        shared = (keys[:, 0::2] == keys[:, 1::2]).any(axis=0)
+        near = (found[0::2].astype(np.uint8) == found[1::2].astype(np.uint8)).sum(axis=1) >= layout.agree
+        missed += int((~(shared & near)).sum())
+    assert missed <= 5
 
 
 def test_components(spark):
