@@ -236,7 +236,7 @@ def _brute(text: str, item: str) -> bool:
     data = [np.frombuffer(x.encode(), np.uint8) for x in (text, item)]
     text_, item_ = (decontaminate.normalise(x, np.array([0, len(x)]))[0].tobytes().decode("latin-1").strip(" ") for x in data)
     if len(item_) < decontaminate.LEAST_BYTES:
-        return False
+        return bool(item_) and f" {item_} " in f" {text_} "
     width = decontaminate.WINDOW
     starts = [0] if len(item_) <= width else [*range(0, len(item_) - width, decontaminate.STRIDE), len(item_) - width]
     for s in starts:
@@ -255,7 +255,7 @@ def _brute(text: str, item: str) -> bool:
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(11)
     prose = lambda n: " ".join("".join(rng.choice("etaoinshrd") for _ in range(rng.randint(2, 8))) for _ in range(n))
-    items = [prose(n) for n in (3, 5, 9, 14, 25, 40)] + ["", "short", "Que Él dixo ÑANDÚ " * 4]
+    items = [prose(n) for n in (3, 5, 9, 14, 25, 40)] + ["", "short", "Que Él dixo ÑANDÚ " * 4, "Él, ella!", "x y", "y z y"]
 
     def spoil(text: str, edits: int) -> str:
         chars = list(text)
@@ -264,7 +264,7 @@ def test_decontamination_against_brute_force(spark):
             chars[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
         return "".join(chars)
 
-    texts = [None, "", "x", prose(400)]
+    texts = [None, "", "x", prose(400), "Short.", "shorts", "a short", "él ELLA", "él ellas", "x", "y z y z y", "x y z", "y", "z y"]
     for item in items:
         if len(item) > 20:
             for edits in (0, 2, 4, 7, 12):
@@ -280,6 +280,41 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.leaks(docs, bench.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("slice_hits", [7, 300])
+def test_decontamination_in_small_slices(spark, monkeypatch, slice_hits):
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("aeintr") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    items = ["na " * 60, "abc " * 30 + prose(20), prose(60), "na " * 30 + prose(10), prose(60) * 2]
+    texts = ["na " * 400, "xna " * 50, f"{prose(30)} {items[2]} {prose(30)} {items[2][20:150]}", items[1] * 3, items[4] + items[0], *items, prose(900), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items + items[:2])), "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SLICE_HITS", slice_hits)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == whole and len({x[0] for x in whole}) > 10
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t and _brute(t, x)}
+    assert {(i, j) for i, j, _, _ in whole if i < len(texts) and j < len(items)} == want
+
+
+def test_decontamination_of_long_repetitive_texts():
+    import tracemalloc
+
+    index = decontaminate.Index.of(["na " * 200, "one two three four five " * 30, "na"])
+    text = ("na " * 3_400_000).encode()
+    tracemalloc.start()
+    owner, window, edits = index.leaks(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    assert set(owner.tolist()) == {0} and not edits.any() and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    rng = random.Random(1)
+    items = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(2000)]
+    assert decontaminate.Index.of(items).size - (1 << decontaminate.FILTER_BITS >> 3) < 10 * sum(map(len, items))
+
+
+def test_decontamination_with_other_types_of_keys(spark):
+    docs = spark.createDataFrame([("d", "in the middle of it all", 1), (None, "x", 2)], "doc_id string, text string, windows int")
+    bench = spark.createDataFrame([("q1", "middle of it"), (None, "x")], "item_id string, text string")
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect()), key=str) == [("d", "q1", 1, 0), (None, None, 1, 0)]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
     items = [f"item number {i} has words of its own like w{i}x{i * 7}y and v{i * 13}" for i in range(9)]
