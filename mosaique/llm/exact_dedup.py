@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fuse_filter
-from .common import stored
+from .common import joined_to_groups, stored
 
 #: Entries of a bucket at most, about.
 BUCKET_ENTRIES = 100_000
@@ -114,27 +115,31 @@ def against(groups: DataFrame, docs: DataFrame, snapshot: Snapshot) -> DataFrame
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Dedups a table as two batches: the rows of the lower half of the span of keys become the snapshot, the
-    others come in against it. Per row: the key, keep_id, group_size, kept and text_sha256.
+    others come in against it; keys that are no whole numbers are halved by a hash. Per row: the key, keep_id,
+    group_size, kept and text_sha256.
 
-    Of equal normalised texts the row of the smallest key stays; it is in the snapshot if any of them is. Null
+    Of equal normalised texts the row of the smallest key stays, in whichever batch it is. Null
     texts count as empty. A null key is never the one that stays unless all keys of its group are null; then
     keep_id is null and no row of the group counts as kept but those (kept is true for them). Repeated rows with
     the key that stays are all kept, as nothing tells them apart. Only digests are shuffled, folded within each
     task first; texts move for the byte check of the positives alone."""
     rows = digests(docs, key, text)
-    span = rows.agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).first()
-    middle = F.lit(None).cast("long") if span["a"] is None else F.lit(span["a"] + (span["b"] - span["a"]) // 2)
-    early = F.coalesce(F.col("row_key") <= middle, F.lit(False))
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        span = rows.agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).first()
+        middle = F.lit(None).cast("long") if span["a"] is None else F.lit(span["a"] + (span["b"] - span["a"]) // 2)
+        early = F.coalesce(F.col("row_key") <= middle, F.lit(False))
+    else:
+        early = F.pmod(F.xxhash64("row_key"), F.lit(2)) == 0
     texts = _rows(docs, key, text)
     old, new = stored(_groups(rows.filter(early)), "groups-old"), stored(_groups(rows.filter(~early)), "groups-new")
     snapshot = freeze(old, texts.filter(early))
     matched = stored(against(new, texts.filter(~early), snapshot), "matched")
     joined = new.join(matched, "digest", "left")
     fresh = joined.filter(F.col("old_size").isNull()).select("digest", "keep", "size")
-    both = joined.filter(F.col("old_size").isNotNull()).select("digest", F.col("old_keep").alias("keep"), (F.col("size") + F.col("old_size")).alias("size"))
+    both = joined.filter(F.col("old_size").isNotNull()).select("digest", F.least("old_keep", "keep").alias("keep"), (F.col("size") + F.col("old_size")).alias("size"))
     kept_old = old.join(matched.select("digest"), "digest", "left_anti").select("digest", "keep", "size")
-    final = kept_old.unionByName(fresh).unionByName(both)
-    return rows.join(final, "digest").select(
+    final = stored(kept_old.unionByName(fresh).unionByName(both), "groups")
+    return joined_to_groups(rows, final, "digest", "size", rows.count()).select(
         F.col("row_key").alias(key),
         F.col("keep").alias("keep_id"),
         F.col("size").alias("group_size"),

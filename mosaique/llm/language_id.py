@@ -15,8 +15,8 @@ from .common import pieces_of, texts_of
 
 #: Hash buckets as a power of two, longest n-gram, smoothing, bytes of text scored together.
 BITS, LONGEST, ALPHA, CHUNK_BYTES = 16, 3, 0.5, 1 << 20
-#: Labelled rows that a model is fitted on at most, about; labels it can tell apart at most.
-TRAIN_ROWS, MOST_LABELS = 60_000, 256
+#: Labelled rows that a model is fitted on at most, about; labels, and characters, that are scored together.
+TRAIN_ROWS, LABEL_BLOCK, ROW_BLOCK = 60_000, 64, 1 << 18
 UNKNOWN = "und"
 
 
@@ -66,12 +66,19 @@ class Model:
         if not self.labels:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         hashed, starts, has = ngrams(texts)
-        sums = self.weights[hashed[:, 0]]
-        for n in range(1, LONGEST):
-            sums += self.weights[hashed[:, n]]
-        # a text without rows has no letter, and its sum is not used
-        at = np.minimum(starts[:-1], max(len(sums) - 1, 0))
-        scores = np.add.reduceat(sums, at, axis=0, dtype=np.float64) + self.priors
+        scores = np.tile(self.priors, (len(texts), 1))
+        for label in range(0, len(self.labels), LABEL_BLOCK):
+            weights = self.weights[:, label : label + LABEL_BLOCK]
+            for row in range(int(starts[0]), int(starts[-1]), ROW_BLOCK):  # a long text is scored in parts
+                end = min(row + ROW_BLOCK, int(starts[-1]))
+                sums = weights[hashed[row:end, 0]]
+                for n in range(1, LONGEST):
+                    sums += weights[hashed[row:end, n]]
+                first = int(np.searchsorted(starts, row, side="right")) - 1
+                last = int(np.searchsorted(starts, end, side="left"))
+                at = np.maximum(starts[first:last], row) - row
+                filled = np.flatnonzero(np.diff(np.append(at, end - row)))  # texts that have rows here
+                scores[first + filled, label : label + LABEL_BLOCK] += np.add.reduceat(sums, at[filled], axis=0, dtype=np.float64)
         best = scores.argmax(axis=1)
         share = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.labels[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, share, 0.0).tolist()
@@ -81,12 +88,10 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", seed_column: s
     """Learns from the text and label of the rows of docs that have a label; a null text counts as empty.
 
     If there are more than train_rows of them, about that many are taken by a hash of seed_column. Counts are
-    folded in each task before they are shuffled; a model of labels times 2**BITS numbers reaches the driver,
-    and more than MOST_LABELS labels are an error."""
+    folded in each task before they are shuffled; a model of labels times 2**BITS numbers reaches the driver, however
+    many labels there are, and is scored LABEL_BLOCK labels at a time."""
     rows = docs.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("body"), F.col(seed_column).alias("seed"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy("label").limit(MOST_LABELS + 1).collect()}
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     labels = sorted(sizes)
     number = {x: i for i, x in enumerate(labels)}
     total = sum(sizes.values())
@@ -94,7 +99,12 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", seed_column: s
         rows = rows.filter(F.pmod(F.xxhash64("seed"), F.lit(1_000_000)) < F.lit(int(1_000_000 * train_rows / total)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(labels), 1 << BITS), dtype=np.int64)
+        few = len(labels) <= LABEL_BLOCK  # then a task's counts are held whole, else those of a chunk
+        sums = np.zeros(len(labels) << BITS if few else 0, dtype=np.int64)
+
+        def counted(flat: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((flat >> BITS).astype(np.int32)), pa.array((flat & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n)], ["label", "bucket", "n"])
+
         for batch in batches:
             for part in pieces_of(batch, 1, CHUNK_BYTES):
                 hashed, starts, _ = ngrams(texts_of(part.column(1)))
@@ -102,9 +112,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", seed_column: s
                 spread = np.repeat(of, np.diff(starts))
                 inside = hashed[starts[0] : starts[-1]]
                 flat = (spread[:, None] << BITS) + inside
-                sums += np.bincount(flat.ravel(), minlength=sums.size).reshape(sums.shape)
-        of, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[of, bucket])], ["label", "bucket", "n"])
+                if few:
+                    sums += np.bincount(flat.ravel(), minlength=sums.size)
+                else:
+                    yield counted(*np.unique(flat, return_counts=True))
+        yield counted(np.flatnonzero(sums), sums[np.flatnonzero(sums)])
 
     counts = np.full((1 << BITS, len(labels)), ALPHA)
     if labels:
@@ -119,7 +131,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     lang_pred is a learned label, or `und` with score 0 where the text is null or has no letter, or nothing was
     learned. score is the label's posterior probability. Equal scores go to the first label in order. Whole
-    texts are scored; a batch is cut into chunks of rows, never inside a text."""
+    texts are scored, in chunks of rows, a long one in parts whose scores are added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = names.index(text)

@@ -14,7 +14,7 @@ import bisect
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined_to_groups, partitions_for, stored
 
 #: Buckets of the driver's histogram, and the most ends it reads of one bucket before it divides that again.
 BUCKETS, BUCKET_ENDS = 16_384, 50_000
@@ -29,8 +29,8 @@ class Ends:
         self.low, self.high = low, high
         self.step = max(1, -(-(high - low) // BUCKETS))
         self.table = table
-        slot = F.expr(f"(end - {low + 1}) div {self.step}")
-        found = table.groupBy(slot.alias("slot")).agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        self.slot = F.expr(f"(end - {low + 1}) div {self.step}")
+        found = table.groupBy(self.slot.alias("slot")).agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n")).collect()
         found.sort()
         self.slots = [r["slot"] for r in found]
         self.mins, self.maxs, self.counts = ([r[k] for r in found] for k in ("a", "b", "n"))
@@ -57,8 +57,8 @@ class Ends:
                 total += self.counts[wanted[0]]
                 part.append(wanted.pop(0))
             total = 0
-            ranges = " OR ".join(f"end BETWEEN {self.mins[i]} AND {self.maxs[i]}" for i in part)
-            ends = sorted(r[0] for r in self.table.filter(ranges).select("end").collect())
+            inside = F.col("end").between(self.mins[part[0]], self.maxs[part[-1]]) & self.slot.isin([self.slots[i] for i in part])
+            ends = sorted(r[0] for r in self.table.filter(inside).select("end").collect())
             for i in part:
                 self.read[i] = ends[bisect.bisect_left(ends, self.mins[i]) : bisect.bisect_right(ends, self.maxs[i])]
 
@@ -158,10 +158,11 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
         ),
         "shard-rows",
     )
-    groups = rows.groupBy("digest").agg(F.min("row_key").alias("first_key"))
+    groups = stored(rows.groupBy("digest").agg(F.min("row_key").alias("first_key"), F.count(F.lit(1)).alias("rows")), "shard-groups")
     order = ["first_key", "digest", "row_key"]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(rows.join(groups, "digest").repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "shard-ranges")
+    total = rows.count()
+    partitions = partitions_for(spark, total)
+    ranged = stored(joined_to_groups(rows, groups, "digest", "rows", total).drop("rows").repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "shard-ranges")
     sums = sorted(ranged.groupBy("part").agg(F.sum("size"), F.count(F.lit(1))).collect())  # a row for each partition
     bases, size, count = [], 0, 0
     for part, part_size, part_rows in sums:

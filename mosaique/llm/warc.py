@@ -7,14 +7,14 @@ headers stand for the revisit, with the headers that a not-modified answer may u
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions_for, stored
 
 #: Fixed value: headers that a 304 answer may carry and that replace the stored ones (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
@@ -40,88 +40,137 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Records of RECORD_SCHEMA (more columns may follow and are passed on) with: canonical (URL), source_id (the
     response that a revisit stands on), outcome, and status, headers and payload as resolved.
 
-    outcome is `full` for records that are no revisits, `resolved`, `validators differ` where both records have an
-    etag and these differ (weak marks do not count) or, without two etags, both have last-modified and these
-    differ, or `no earlier response`. A revisit that is not resolved keeps what it has. A response counts as
-    earlier if its time is smaller or, at the same time, its id; records without url or time are never joined.
-    Header names are compared in lower case. Repeated records stay repeated.
+    outcome is `full` for records that are no revisits, `resolved` where the validators of the two agree,
+    `resolved unvalidated` where they have none in common to compare, `validators differ` where both records have an
+    etag and these differ (weak marks do not count) or, without two etags, both have last-modified and these differ,
+    `no earlier response`, or `other profile` for revisits that say in a column profile that they are not about a
+    not-modified answer. A revisit that is not resolved keeps what it has. A response counts as earlier if its time
+    is smaller or, at the same time, its id; records without url or time are never joined, nor responses without id.
+    Header names are compared in lower case. Repeated records stay repeated. Names of columns that begin with
+    `_warc_` are the operator's own.
 
     Records are dealt by ranges of (url, time, id), so a URL with a third of all records spreads over tasks; the
     last response of each range is carried over the next ranges, one row for each partition."""
     spark = records.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lower = F.transform_keys("headers", lambda k, _: F.lower(k))
     rest = [c for c in records.columns if c not in ("status", "headers", "payload", "canonical", "source_id", "outcome")]
     rows = records.select(*rest, "status", F.coalesce(lower, F.expr("cast(map() as map<string,string>)")).alias("headers"), "payload", canonical_url(F.col("url")).alias("canonical"))
-    order = [F.col("canonical").asc_nulls_first(), F.col("captured").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
     usable = (F.col("record_type") == "response") & (F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("captured").isNotNull()
+    is_revisit = F.col("record_type").eqNullSafe("revisit")
+    if "profile" in rest:
+        other = F.coalesce(~F.col("profile").contains("server-not-modified"), F.lit(False))
+    else:
+        other = F.lit(False)
     # the as-of join moves ids and validators; payloads are fetched for the revisits that found a response
-    slim = rows.select("record_id", "record_type", "canonical", "captured", F.coalesce(usable, F.lit(False)).alias("_full"), F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
-    slim = stored(slim.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()), "warc-ranges")
-    response = F.when(F.col("_full"), F.struct("canonical", "captured", "record_id", "etag", "modified"))
-    tails = slim.filter("_full").groupBy("_part").agg(F.max(F.struct("canonical", "captured", "record_id", "etag", "modified")).alias("tail")).collect()
+    slim = rows.select(
+        F.col("record_id").alias("id"),
+        F.col("canonical").alias("url"),
+        F.col("captured").alias("at"),
+        F.coalesce(usable, F.lit(False)).alias("full"),
+        (is_revisit & ~other).alias("asks"),
+        F.col("headers")["etag"].alias("etag"),
+        F.col("headers")["last-modified"].alias("modified"),
+    )
+    partitions = partitions_for(spark, records.count())
+    order = [F.col(c).asc_nulls_first() for c in ("url", "at", "id")]
+    slim = stored(slim.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "warc-ranges")
+    tails = slim.filter("full").groupBy("part").agg(F.max(F.struct("url", "at", "id", "etag", "modified")).alias("tail")).collect()
     carried, last = [], None
-    found = {r["_part"]: r["tail"] for r in tails}
+    found = {r["part"]: r["tail"] for r in tails}
     for part in range(max([partitions - 1, *found]) + 1):
         tail = found.get(part)
         carried.append((part, last))
         last = tail or last
-    kind = "struct<canonical:string,captured:timestamp,record_id:string,etag:string,modified:string>"
-    carry = F.broadcast(spark.createDataFrame(carried, f"_part int, carry {kind}"))  # a row for each partition
-    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = slim.withColumn("_seen", F.last(response, ignorenulls=True).over(before)).join(carry, "_part", "left").withColumn("_found", F.coalesce("_seen", "carry"))
-    match = found.filter("record_type = 'revisit' AND canonical = _found.canonical AND captured IS NOT NULL")
+    kind = "struct<url:string,at:timestamp,id:string,etag:string,modified:string>"
+    carry = F.broadcast(spark.createDataFrame(carried, f"part int, carry {kind}"))  # a row for each partition
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    response = F.when(F.col("full"), F.struct("url", "at", "id", "etag", "modified"))
+    placed = slim.withColumn("seen", F.last(response, ignorenulls=True).over(before)).join(carry, "part", "left").withColumn("old", F.coalesce("seen", "carry"))
+    match = placed.filter("asks AND url = old.url AND at IS NOT NULL")
     etag = lambda c: F.regexp_replace(c, "^W/", "")
-    differ = F.when(F.col("etag").isNotNull() & F.col("_found.etag").isNotNull(), etag(F.col("etag")) != etag(F.col("_found.etag"))).otherwise(
-        F.coalesce(F.col("modified") != F.col("_found.modified"), F.lit(False))
-    )
-    links = match.select("record_id", "canonical", "captured", F.col("_found.record_id").alias("source_id"), differ.alias("differ")).distinct()
+    differ = F.when(F.col("etag").isNotNull() & F.col("old.etag").isNotNull(), etag(F.col("etag")) != etag(F.col("old.etag"))).otherwise(F.col("modified") != F.col("old.modified"))
+    links = match.select(
+        F.col("id").alias("_warc_id"), F.col("url").alias("_warc_url"), F.col("at").alias("_warc_at"), F.col("old.id").alias("_warc_source"), differ.alias("_warc_differ")
+    ).distinct()
     links = stored(links, "warc-links")
-    sources = rows.filter(usable).select(F.col("record_id").alias("source_id"), "canonical", F.col("status").alias("_s"), F.col("headers").alias("_h"), F.col("payload").alias("_p"))
-    wanted = links.filter("NOT differ").select("source_id", "canonical").distinct()
-    sources = sources.join(wanted, ["source_id", "canonical"], "left_semi").dropDuplicates(["source_id", "canonical"])
-    is_revisit = F.col("record_type").eqNullSafe("revisit")
-    joined = rows.filter(is_revisit).join(links, ["record_id", "canonical", "captured"], "left").join(sources, ["source_id", "canonical"], "left")
-    good = F.col("source_id").isNotNull() & ~F.col("differ")
+    wanted = links.filter("NOT coalesce(_warc_differ, false)").select("_warc_source", "_warc_url").distinct()
+    sources = rows.filter(usable).select(
+        F.col("record_id").alias("_warc_source"), F.col("canonical").alias("_warc_url"), F.col("status").alias("_warc_status"), F.col("headers").alias("_warc_headers"), F.col("payload").alias("_warc_payload")
+    )
+    sources = sources.join(wanted, ["_warc_source", "_warc_url"], "left_semi").dropDuplicates(["_warc_source", "_warc_url"])
+    here = (F.col("record_id") == F.col("_warc_id")) & (F.col("canonical") == F.col("_warc_url")) & (F.col("captured") == F.col("_warc_at"))
+    joined = rows.filter(is_revisit & ~other).join(links, here, "left").join(sources, ["_warc_source", "_warc_url"], "left")
+    there, good = F.col("_warc_source").isNotNull(), F.col("_warc_source").isNotNull() & ~F.coalesce("_warc_differ", F.lit(False))
     updates = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
-    merged = F.map_concat(F.map_filter("_h", lambda k, _: ~F.array_contains(F.map_keys(updates), k)), updates)
-    outcome = F.when(F.col("source_id").isNull(), "no earlier response").when(F.col("differ"), "validators differ").otherwise("resolved")
+    merged = F.map_concat(F.map_filter("_warc_headers", lambda k, _: ~F.array_contains(F.map_keys(updates), k)), updates)
+    outcome = F.when(~there, "no earlier response").when(F.col("_warc_differ").isNull(), "resolved unvalidated").when(F.col("_warc_differ"), "validators differ").otherwise("resolved")
     revisits = joined.select(
         *rest,
         "canonical",
-        "source_id",
+        F.col("_warc_source").alias("source_id"),
         outcome.alias("outcome"),
-        F.when(good, F.col("_s")).otherwise(F.col("status")).alias("status"),
+        F.when(good, F.col("_warc_status")).otherwise(F.col("status")).alias("status"),
         F.when(good, merged).otherwise(F.col("headers")).alias("headers"),
-        F.when(good, F.col("_p")).otherwise(F.col("payload")).alias("payload"),
+        F.when(good, F.col("_warc_payload")).otherwise(F.col("payload")).alias("payload"),
     )
-    full = rows.filter(~is_revisit).select(*rest, "canonical", F.lit(None).cast("string").alias("source_id"), F.lit("full").alias("outcome"), "status", "headers", "payload")
+    kept = rows.filter(~is_revisit | other)
+    full = kept.select(*rest, "canonical", F.lit(None).cast("string").alias("source_id"), F.when(is_revisit, "other profile").otherwise("full").alias("outcome"), "status", "headers", "payload")
     return full.unionByName(revisits)
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The response, revisit and resource records of a WARC file's bytes, gzipped or not. A record that is cut off
-    or has no length ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        if not head.get("content-length", "").isdigit() or end + 4 + int(head["content-length"]) > len(data):
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of a file in parts: of each gzip member, up to where one is broken or cut off, or the whole."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            part = member.decompress(rest)
+        except zlib.error:
             return
-        body = data[end + 4 : (at := end + 4 + int(head["content-length"]))]
-        kind = head.get("warc-type")
-        if kind not in ("response", "revisit", "resource"):
-            continue
-        status, headers, payload = None, [], body
-        if body.startswith(b"HTTP/"):
-            top, _, payload = body.partition(b"\r\n\r\n")
-            first, *rest = top.decode("latin-1").split("\r\n")
-            code = first.split(" ")[1:2]
-            status = int(code[0]) if code and code[0].isdigit() else None
-            headers = list({k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in rest) if k.strip()}.items())
-        yield {"record_id": head.get("warc-record-id"), "record_type": kind, "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "status": status, "headers": headers, "payload": payload}
+        yield part
+        rest = member.unused_data
+
+
+def _headers(lines: list[str]) -> list[tuple[str, str]]:
+    """HTTP headers by lower-case name; values of a repeated one are joined by commas, of cookies by line ends."""
+    held: dict[str, list[str]] = {}
+    for name, _, value in (line.partition(":") for line in lines):
+        if name.strip():
+            held.setdefault(name.strip().lower(), []).append(value.strip())
+    return [(name, ("\n" if name == "set-cookie" else ", ").join(values)) for name, values in held.items()]
+
+
+def parse_records(data: bytes) -> Iterator[dict]:
+    """The response, revisit and resource records of a WARC file's bytes, gzipped (as one member or a member for
+    each record) or not. A record that is cut off, broken or without length ends the file."""
+    held = b""
+    for part in _unpacked(data):
+        held, at = held + part if held else part, 0
+        while (start := held.find(b"WARC/", at)) >= 0 and (end := held.find(b"\r\n\r\n", start)) >= 0:
+            lines = held[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+            head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            if not head.get("content-length", "").isdigit():
+                return
+            if end + 4 + int(head["content-length"]) > len(held):
+                break
+            body = held[end + 4 : (at := end + 4 + int(head["content-length"]))]
+            kind = head.get("warc-type")
+            if kind not in ("response", "revisit", "resource"):
+                continue
+            status, headers, payload = None, [], body
+            if body.startswith(b"HTTP/"):
+                top, _, payload = body.partition(b"\r\n\r\n")
+                first, *rest = top.decode("latin-1").split("\r\n")
+                code = first.split(" ")[1:2]
+                status, headers = int(code[0]) if code and code[0].isdigit() else None, _headers(rest)
+            yield {
+                "record_id": head.get("warc-record-id"), "record_type": kind, "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "status": status,
+                "headers": headers, "payload": payload, "profile": head.get("warc-profile"),
+            }
+        held = held[at:]
 
 
 def format_record(record_id: str, kind: str, url: str, captured: str, status: int, headers: dict[str, str], payload: bytes = b"") -> bytes:
@@ -133,11 +182,12 @@ def format_record(record_id: str, kind: str, url: str, captured: str, status: in
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below a path, as RECORD_SCHEMA."""
+    """Records of the WARC files below a path, as RECORD_SCHEMA and profile (that of a revisit). A file is read
+    whole, as packed as it is; what one gzip member holds is unpacked at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("captured", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+        kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("captured", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("profile", pa.string())])
         for batch in batches:
             for data in batch.column(0):
                 held: list[dict] = []
@@ -149,5 +199,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=kind)
 
-    text = RECORD_SCHEMA.replace("captured timestamp", "captured string")
+    text = RECORD_SCHEMA.replace("captured timestamp", "captured string") + ", profile string"
     return files.mapInArrow(run, text).withColumn("captured", F.try_to_timestamp("captured"))

@@ -205,6 +205,28 @@ def test_exact_dedup_of_null_and_repeated_keys(spark):
     ]
 
 
+def test_exact_dedup_of_other_keys(spark):
+    rows = [(f"k{i:03d}" if i % 17 else None, f"t{i % 9}") for i in range(200)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    keep = {t: min(k for k, x in rows if x == t and k) for _, t in rows}
+    size = {t: sum(x == t for _, x in rows) for _, t in rows}
+    name = {hashlib.sha256(t.encode()).hexdigest(): t for t in keep}
+    assert len(got) == 200 and all((r["keep_id"], r["group_size"], r["kept"]) == (keep[t], size[t], r["doc_id"] == keep[t]) for r in got for t in [name[r["text_sha256"]]])
+    assert sorted((r["doc_id"] or "", name[r["text_sha256"]]) for r in got) == sorted((k or "", t) for k, t in rows)
+
+
+def test_rows_joined_to_large_groups(spark):
+    from mosaique.llm.common import joined_to_groups
+
+    rows = spark.range(4000).selectExpr("id", "IF(id % 3 = 0, -1, id % 500) AS g")
+    groups = rows.groupBy("g").agg({"id": "min", "*": "count"}).withColumnsRenamed({"min(id)": "least", "count(1)": "n"})
+    got = joined_to_groups(rows, groups, "g", "n", 4000)
+    least = {}
+    for r in rows.collect():
+        least[r["g"]] = min(r["id"], least.get(r["g"], r["id"]))
+    assert sorted((r["id"], r["g"], r["least"]) for r in got.collect()) == [(r["id"], r["g"], least[r["g"]]) for r in rows.orderBy("id").collect()]
+
+
 def test_filter_screens_only_what_may_match(spark):
     rows = spark.range(2000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest", "id AS keep", "1L AS size")
     snapshot = exact_dedup.freeze(rows.filter("keep < 1000"), None)
@@ -273,4 +295,8 @@ def test_sharding(spark):
     sizes = [sum(len((texts[i] or "").encode()) + 8 for i in g) for _, g in sorted((min(g), g) for g in order.values())]
     assert max(loads.values()) == brute_capacity(sizes, 7) and set(loads) <= set(range(7))
     assert sharding.shard(make(spark, []).filter("false"), 7).count() == 0
+    odd = make(spark, ["a", "b", "a", "c"]).selectExpr("IF(doc_id < 2, NULL, 5) AS doc_id", "text")  # null and repeated keys
+    got = sharding.shard(odd.union(odd), 3).collect()
+    assert len(got) == 8 and sorted(r["size"] for r in got) == [9] * 8 and len({(r["shard"], r["slot"]) for r in got}) == 8
+    assert len({(r["text_crc32"], r["shard"]) for r in got}) == 3
     assert {r["shard"] for r in sharding.shard(make(spark, ["one"]), 7).collect()} <= set(range(7))

@@ -175,8 +175,8 @@ def test_revisits(spark):
     say = {k: (r["outcome"], r["source_id"]) for k, r in got.items()}
     assert say == {
         "r1": ("full", None), "r2": ("full", None), "e1": ("full", None), "m1": ("full", None), None: ("full", None),
-        "v1": ("resolved", "r1"), "v2": ("validators differ", "r2"), "v3": ("no earlier response", None), "v4": ("resolved", "r2"),
-        "v5": ("no earlier response", None), "v6": ("no earlier response", None), "v7": ("resolved", "r2"), "v8": ("validators differ", "m1"),
+        "v1": ("resolved", "r1"), "v2": ("validators differ", "r2"), "v3": ("no earlier response", None), "v4": ("resolved unvalidated", "r2"),
+        "v5": ("no earlier response", None), "v6": ("no earlier response", None), "v7": ("resolved unvalidated", "r2"), "v8": ("validators differ", "m1"),
     }
     assert got["v1"]["headers"] == {"etag": 'W/"a"', "date": "d2", "server": "s"} and bytes(got["v1"]["payload"]) == b"one" and got["v1"]["status"] == 200
     assert got["v2"]["payload"] is None and got["v2"]["status"] == 304
@@ -189,7 +189,32 @@ def test_revisits_of_one_hot_url(spark):
         "timestamp_seconds(id) AS captured", "200 AS status", "CAST(map() AS map<string,string>) AS headers", "CAST(CAST(id AS string) AS binary) AS payload",
     )
     got = warc.resolve_revisits(rows).filter("record_type = 'revisit'").collect()
-    assert len(got) == 891 and all(int(r["source_id"]) == int(r["record_id"]) // 100 * 100 and r["outcome"] == "resolved" for r in got)
+    assert len(got) == 891 and all(int(r["source_id"]) == int(r["record_id"]) // 100 * 100 and r["outcome"] == "resolved unvalidated" for r in got)
+
+
+def test_revisits_keep_columns_of_any_name(spark):
+    names = "differ, _s, _h, _p, etag, modified, _part, _seen, _found, carry, part, id, at, full, asks, seen, old, profile".split(", ")
+    records = spark.createDataFrame(
+        [("r", "response", "http://x.example/", None, 200, {"etag": "a"}, b"body"), ("v", "revisit", "http://x.example/", None, 304, {"etag": "a"}, None), ("w", "revisit", "http://x.example/", None, 304, {}, None)],
+        warc.RECORD_SCHEMA,
+    ).selectExpr("* EXCEPT (captured)", "IF(record_id = 'r', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02') AS captured", *(f"record_id || '{n}' AS {n}" for n in names[:-1]),
+                 "IF(record_id = 'w', 'http://netpreserve.org/warc/1.1/revisit/identical-payload-digest', NULL) AS profile")
+    got = {r["record_id"]: r for r in warc.resolve_revisits(records).collect()}
+    assert all(got[k][n] == k + n for k in "rvw" for n in names[:-1])
+    assert {k: (r["outcome"], r["payload"] and bytes(r["payload"])) for k, r in got.items()} == {"r": ("full", b"body"), "v": ("resolved", b"body"), "w": ("other profile", None)}
+
+
+def test_broken_warc_files():
+    record = warc.format_record("<u:1>", "response", "http://a.example/", "2024-01-01T00:00:00Z", 200, {"A": "1"}, b"body" * 400)
+    packed = gzip.compress(record)
+    names = lambda data: [r["record_id"] for r in warc.parse_records(data)]
+    assert names(packed + packed[: len(packed) // 2]) == ["<u:1>"] and names(packed + b"\x1f\x8bgarbage") == ["<u:1>"] and names(gzip.compress(record + record)) == ["<u:1>"] * 2
+    assert names(packed[:20]) == names(b"") == names(b"\x1f\x8b") == names(b"WARC/1.1\r\nno-length: 1\r\n\r\n") == []
+    half = len(record) // 2
+    assert names(gzip.compress(record[:half]) + gzip.compress(record[half:])) == ["<u:1>"]
+    http = b"HTTP/1.1 200 OK\r\nVary: a\r\nvary: b\r\nSet-Cookie: x=1, y\r\nset-cookie: z\r\n\r\nbody"
+    found = next(warc.parse_records(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Profile: p\r\nContent-Length: %d\r\n\r\n" % len(http) + http))
+    assert found["headers"] == [("vary", "a, b"), ("set-cookie", "x=1, y\nz")] and found["payload"] == b"body" and found["profile"] == "p"
 
 
 def test_warc_files(spark, tmp_path):

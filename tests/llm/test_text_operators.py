@@ -173,6 +173,16 @@ def test_token_store_of_an_empty_table(spark, docs):
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
 
 
+def test_token_store_of_repeated_and_null_keys(spark):
+    tokenizer, folder = Tokenizer.from_file(JSON), fresh_path(spark, "store")
+    rows = [(None, "no key"), (3, "three"), (3, "three"), (3, "other three"), (1, None), (None, "no key")]
+    files = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), JSON, folder)
+    got = sorted(map(tuple, token_store.read_tokens(spark, files, folder).collect()), key=lambda r: r[1])
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert [r[0] for r in got] == [None, None, 1, 3, 3, 3] and sorted(r[3] for r in got) == sorted(crc(t) for _, t in rows)
+    assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])[:-1]]).tolist()
+
+
 def test_token_store_ranges(spark, monkeypatch):
     monkeypatch.setattr(token_store, "RANGE_ROWS", 5)
     monkeypatch.setattr(token_store, "FILE_TOKENS", 20)
@@ -223,6 +233,25 @@ def test_language_id(spark):
     assert language_id.identify_keys(test.filter("false"), model).count() == 0
 
 
+def test_language_id_with_many_labels(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{chr(97 + lang // 26)}{chr(97 + lang % 26)}{rng.choice('xyz')}" for _ in range(12)), f"l{lang:03d}") for i, lang in enumerate(list(range(300)) * 2)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 300
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.9 * len(rows)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    model = language_id.Model(["a", "b", "c"], np.zeros(3), np.random.default_rng(0).normal(size=(1 << language_id.BITS, 3)).astype(np.float32))
+    texts = ["", "one", "", "two three " * 30, "x", "1", "", "four"]
+    whole = model.predict(texts)
+    monkeypatch.setattr(language_id, "ROW_BLOCK", 3)
+    monkeypatch.setattr(language_id, "LABEL_BLOCK", 2)
+    parts = model.predict(texts)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+
+
 def test_language_id_does_not_depend_on_batches():
     model = language_id.Model(["a", "b"], np.zeros(2), np.random.default_rng(0).normal(size=(1 << language_id.BITS, 2)).astype(np.float32))
     texts = ["one two", "", "x", "Ünï 12 code", "one two"]
