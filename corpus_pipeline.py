@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over the documents table, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return
-the columns of documents; the last adds n_tokens and ids.
+the columns of documents; the last adds n_tokens and ids. Decisions are about a row's key and text together, so rows
+with a null key, or with one key and several texts, are each judged by their own text; equal rows go or stay together.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaique.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
-from mosaique.llm.common import stored
+from mosaique.llm.common import forget, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,22 +26,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with _name: a row's key, null ones last, and the digest of its text."""
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return docs.withColumn("_name", F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", digest.alias("digest")))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts the one of the smallest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of documents with equal normalised texts the one of the smallest doc_id stays; all of them if none has any."""
+    found = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_key"), F.unhex("text_sha256").alias("_digest")).distinct()
+    rows = docs.withColumn("_text", F.unhex(F.sha2(exact_dedup.normalised("text").cast("binary"), 256)))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_digest")), "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on five-word shingles the one of the smallest doc_id stays."""
-    kept = near_dedup.near_dedup(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = _named(docs)
+    kept = near_dedup.near_dedup(named, words=5, percent=80, key="_name").filter("kept").select("_name").distinct()
+    return named.join(kept, "_name", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    leaks = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    named = _named(docs)
+    leaks = decontaminate.leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_name")
+    return named.join(leaks.select("_name").distinct(), "_name", "left_anti").select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents table, writing what each keeps to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{i + 1}")
+            forget(before)
     return docs
