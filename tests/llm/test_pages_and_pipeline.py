@@ -273,6 +273,26 @@ def test_pipeline(spark):
     assert importlib.import_module("__spark_entry__").queries()["pipeline"] is corpus_pipeline.run
 
 
+def test_pipeline_with_null_and_repeated_keys(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    item, one, two, three = prose(30), prose(90), prose(90), prose(60)
+    texts = [
+        (None, one), (7, one + " end"), (7, two), (9, two + "  end"), (None, two.replace(" ", "  ", 1)), (None, three), (None, three), (None, f"{prose(9)} {item}"), (7, f"{prose(9)} {item}"), (5, prose(50)), (5, prose(50)),
+    ]
+    docs = spark.createDataFrame([(k, t, None, "s", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.union(docs.filter("doc_id = 5")).withColumn("lang", docs["source"])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        left.append(sorted((r["doc_id"] or 0, texts.index((r["doc_id"], r["text"]))) for r in docs.collect()))
+    everything = sorted([(k or 0, texts.index((k, t))) for k, t in texts] + [(5, 9), (5, 10)])
+    exact = [x for x in everything if x[1] != 4]  # its text is that of row 2
+    near = [x for x in exact if x[1] not in (0, 3)]
+    assert left == [everything, exact, near, *[[x for x in near if x[1] not in (7, 8)]] * 2]
+
+
 def test_pipeline_of_the_table(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
