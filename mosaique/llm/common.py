@@ -8,22 +8,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaique.session import partitions_for
 from mosaique.storage import exists, forget, fresh_path, remove, shared_dir, stored
 
 __all__ = ["ended", "exists", "forget", "fresh_path", "joined_to_groups", "partitions_for", "pieces_of", "remove", "shared_dir", "stored", "texts_of", "utf8_view"]
 
-#: Rows of a range of an order that one task sorts, about.
-ROWS_OF_RANGE = 2_000_000
-
-
-def partitions_for(spark: SparkSession, rows: int) -> int:
-    """Ranges into which so many rows are dealt: as many as the session's shuffles have, more for very many rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_OF_RANGE))
-
-
 def joined_to_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int) -> DataFrame:
     """rows joined to their groups: one row for each value of a column that all rows have, and size, the number of
     rows that have it, of total in all.
