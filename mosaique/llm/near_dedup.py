@@ -37,7 +37,7 @@ from .shingles import minhashes, mix, set_digest, shingle_sets
 SIFT, DEVIATIONS, MISSED = 64, 4.5, 20_000
 CHUNK_BYTES, RUN_BLOCK = 1 << 20, 512
 #: Nodes, and members of full sets, in a block of a cell, about.
-CELL_NODES, CELL_MEMBERS = 1024, 1 << 17
+CELL_NODES, CELL_MEMBERS = 1024, 1 << 15
 #: Over so many keys a hot key is spread where rows are joined to what is known of their group.
 SALTS = 32
 
