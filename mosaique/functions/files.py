@@ -73,10 +73,11 @@ def mime_of_base64(text: Column) -> Column:
 
 
 def thumbnail_size(width: Column, height: Column, size: int) -> tuple[Column, Column]:
-    """Width and height that fit a square: the longer side is size, the other is cut to a whole number, at least 1."""
-    w, h = width.cast("double"), height.cast("double")
+    """Width and height that fit a square: the longer side is size, the other is cut to a whole number, at least 1.
+    The proportion is in single precision; a quotient of such numbers in double precision rounds to the same."""
+    w, h = width.cast("float"), height.cast("float")
     wide = w >= h
-    short = lambda a, b: F.greatest(F.lit(1), (a / b * size).cast("int"))
+    short = lambda a, b: F.greatest(F.lit(1), ((a / b).cast("float") * F.lit(size).cast("float")).cast("int"))
     return F.when(wide, F.lit(size)).otherwise(short(w, h)), F.when(wide, short(h, w)).otherwise(F.lit(size))
 
 

@@ -22,18 +22,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_literal(v: Column, query: list[float]) -> Column:
-    """Dot product with a constant, written out term by term, so that it is compiled; null if the lengths differ."""
-    terms = sum((F.get(v, i).cast("double") * F.lit(float(x)) for i, x in enumerate(query)), F.lit(0.0))
-    return F.when(F.size(v) == len(query), terms)
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
 def l2_normalize(v: Column) -> Column:
-    return F.when(norm(v) > TINY, F.transform(doubles(v), lambda x: x / norm(v))).otherwise(doubles(v))
+    """The norm is bound once, beside the vector, and not found again for each element."""
+    bound = F.array(F.struct(doubles(v).alias("v"), norm(v).alias("n")))
+    return F.transform(bound, lambda b: F.when(b["n"] > TINY, F.transform(b["v"], lambda x: x / b["n"])).otherwise(b["v"]))[0]
 
 
 def max_abs_difference(a: Column, b: Column) -> Column:

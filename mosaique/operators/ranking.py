@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import partitions_for
 from ..storage import stored
 
 
@@ -16,7 +17,7 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "idx") -> DataFr
     """rows with their place in an order, from 0. Equal rows are numbered in any order."""
     spark = rows.sparkSession
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(spark, rows.count())
     ranged = stored(rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
     sums, before, bases = sorted(ranged.groupBy("_part").count().collect()), 0, []  # a row for each partition
     for part, n in sums:
@@ -32,6 +33,12 @@ def ranked(rows: DataFrame, *order: str | Column) -> DataFrame:
     return numbered(rows, *order, name="_n").withColumn("rank", F.col("_n") + 1).drop("_n")
 
 
+def ranked_top(rows: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows in order with rank, from 1; n rows fit one task."""
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    return top(rows, n, *keys).withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long")) if n else ranked(rows, *keys)
+
+
 def top(rows: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """The first n rows in order, all for n = 0."""
     sorted_ = rows.orderBy(*order)

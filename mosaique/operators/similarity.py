@@ -7,11 +7,10 @@ A folder is a DataFrame with `path`, `file_name` and `features`. Products run in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -19,7 +18,7 @@ from ..functions import vector
 from ..functions.files import normal_path
 from ..storage import stored
 
-#: Vectors of the source side that are sent to the executors at once, at most; more are taken in turn.
+#: Vectors of the source side that are sent to the executors, and of a block, at most.
 SOURCE_BYTES = 64 << 20
 #: Rows of a product that are computed together.
 ROWS = 2048
@@ -78,110 +77,147 @@ def similar(
     return found.limit(limit) if limit else found
 
 
-def _source_blocks(sources: DataFrame, dim: int) -> tuple[DataFrame, int]:
-    rows = sources.filter(F.size("features") == dim).select("path", F.col("features").cast("array<double>").alias("features"))
-    blocks = max(1, -(-rows.count() * dim * 8 // SOURCE_BYTES))
-    return rows.withColumn("block", F.pmod(F.xxhash64("path", "features"), F.lit(blocks))), blocks
+def _best(targets: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """For each target the largest product with a source; NaN products do not count."""
+    best = np.full(len(targets), -np.inf)
+    for i in range(0, len(targets), ROWS):
+        for j in range(0, len(sources), ROWS):
+            products = targets[i : i + ROWS] @ sources[j : j + ROWS].T
+            np.fmax(best[i : i + ROWS], np.fmax.reduce(products, axis=1), out=best[i : i + ROWS])
+    return best
 
 
-def _best_of_block(targets: DataFrame, block: np.ndarray, dim: int) -> DataFrame:
-    """Targets with `best`, the largest similarity to a block of vectors; NaN products do not count."""
-    sent = targets.sparkSession.sparkContext.broadcast(block)
+def _best_rows(batch: pa.RecordBatch | pa.Table, sources: np.ndarray, dim: int) -> list[pa.Array]:
+    """Columns path, file_name and best of the rows (path, file_name, features) whose vectors have the length."""
+    vectors = batch.column(2)
+    m, good = _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, dim)
+    kept = batch.take(pa.array(good))
+    return [kept.column(0), kept.column(1), pa.array(_best(_normalised(m), sources))]
+
+
+BEST = ["path", "file_name", "best"]
+
+
+def _best_of_sent(targets: DataFrame, sources: np.ndarray, dim: int) -> DataFrame:
+    sent = targets.sparkSession.sparkContext.broadcast(sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, good = _matrix(batch.column(2), dim)
-            m, best = _normalised(m), np.full(len(good), -np.inf)
-            for i in range(0, len(m), ROWS):
-                for j in range(0, len(sent.value), ROWS):
-                    products = m[i : i + ROWS] @ sent.value[j : j + ROWS].T
-                    np.fmax(best[i : i + ROWS], np.fmax.reduce(products, axis=1), out=best[i : i + ROWS])
-            kept = batch.take(pa.array(good))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(best)], ["path", "file_name", "best"])
+            yield pa.RecordBatch.from_arrays(_best_rows(batch, sent.value, dim), BEST)
 
     return targets.select("path", "file_name", "features").mapInArrow(run, "path string, file_name string, best double")
 
 
+def _best_of_cells(sources: DataFrame, targets: DataFrame, dim: int, source_blocks: int, target_blocks: int) -> DataFrame:
+    """A cell for each block of sources and block of targets, each a task's work; maxima are folded by target."""
+    deal = lambda df, blocks: F.pmod(F.xxhash64("path", "file_name"), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = sources.withColumn("i", deal(sources, source_blocks)).withColumn("j", every(target_blocks)).select("i", "j", "features")
+    right = targets.withColumn("j", deal(targets, target_blocks)).withColumn("i", every(source_blocks)).select("i", "j", "path", "file_name", "features")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], BEST)
+        matrix = _normalised(_matrix(a.column("features").combine_chunks(), dim)[0])
+        return pa.table(_best_rows(b.select(["path", "file_name", "features"]), matrix, dim), BEST)
+
+    cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "path string, file_name string, best double")
+    return cells.groupBy("path", "file_name").agg(F.max("best").alias("best"))
+
+
 def best_matches(sources: DataFrame, targets: DataFrame, dim: int | None = None) -> DataFrame:
     """Per target: path, file_name and best, the largest similarity over all sources; no rows without sources.
 
     All vectors are made unit length again. dim is that of the first source in order of file_name and path unless
-    given; vectors of other lengths are left out on both sides. Sources are sent in blocks of SOURCE_BYTES: with
-    one block targets are only mapped; with more, each block's maxima are written and then folded by target."""
-    if dim is None:
-        first = sources.orderBy("file_name", "path").select(F.size("features").alias("n")).first()
-        dim = first["n"] if first else 0
+    given; vectors of other lengths are left out on both sides. Sources of SOURCE_BYTES at most are sent to all
+    tasks, and targets are only mapped; more of them are dealt into blocks, as the targets are, and each block of one
+    meets each of the other in a cell."""
+    order = F.struct(F.coalesce("file_name", F.lit("")), F.coalesce("path", F.lit("")))
+    size = F.size("features")
+    sizes = sources.groupBy(size.alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first"))
+    found = sorted((r["first"], r["n"], r["rows"]) for r in sizes.orderBy("first").collect())  # a row for each length
     schema = "path string, file_name string, best double"
-    if dim <= 0:
-        return targets.sparkSession.createDataFrame([], schema)
-    rows, blocks = _source_blocks(sources, dim)
-    passes = []
-    for i in range(blocks):
-        part = rows.filter(F.col("block") == i).select("features").toArrow().column(0).combine_chunks()
-        part = part.chunk(0) if isinstance(part, pa.ChunkedArray) else part
-        matrix = _normalised(_matrix(part, dim)[0]) if len(part) else np.zeros((0, dim))
-        if not len(matrix):
-            continue
-        found = _best_of_block(targets, matrix, dim)
-        passes.append(found if blocks == 1 else stored(found, "best-of-block"))
-    if not passes:
+    dim = dim if dim is not None else found[0][1] if found else 0
+    rows = sum(n for _, d, n in found if d == dim)
+    if dim <= 0 or not rows:
         return targets.sparkSession.createDataFrame([], schema)
-    if len(passes) == 1:
-        return passes[0]
-    return reduce(DataFrame.unionByName, passes).groupBy("path", "file_name").agg(F.max("best").alias("best"))
+    fitting = sources.filter(size == dim).select("path", "file_name", F.col("features").cast("array<double>").alias("features"))
+    blocks = -(-rows * dim * 8 // SOURCE_BYTES)
+    if blocks == 1:
+        part = fitting.select("features").toArrow().column(0).combine_chunks()
+        matrix = _normalised(_matrix(part.chunk(0) if isinstance(part, pa.ChunkedArray) else part, dim)[0])
+        return _best_of_sent(targets, matrix, dim) if len(matrix) else targets.sparkSession.createDataFrame([], schema)
+    others = targets.filter(size == dim)
+    return _best_of_cells(fitting, others, dim, blocks, max(1, -(-others.count() * dim * 8 // SOURCE_BYTES)))
 
 
 def best_matches_sql(sources: DataFrame, targets: DataFrame) -> DataFrame:
     """The same as expressions: the definition that best_matches is tested against. For small folders only."""
-    left = targets.select("path", "file_name", vector.l2_normalize(F.col("features")).alias("t"))
-    right = sources.select(vector.l2_normalize(F.col("features")).alias("s"))
+    first = sources.select(F.min_by(F.size("features"), F.struct(F.coalesce("file_name", F.lit("")), F.coalesce("path", F.lit("")))).alias("n")).first()["n"] or 0
+    left = targets.filter(F.size("features") == first).select("path", "file_name", vector.l2_normalize(F.col("features")).alias("t"))
+    right = sources.filter(F.size("features") == first).select(vector.l2_normalize(F.col("features")).alias("s"))
     sim = F.nanvl(vector.dot(F.col("t"), F.col("s")), F.lit(float("-inf")))
     pairs = left.join(right, F.size("t") == F.size("s")).select("path", "file_name", sim.alias("sim"))
     return pairs.groupBy("path", "file_name").agg(F.max("sim").alias("best"))
 
 
-def compare(sources: DataFrame, targets: DataFrame, threshold: float = 0.9, engine: str = "gemm") -> DataFrame:
+def compare(sources: DataFrame, targets: DataFrame, threshold: float = 0.9, engine: str = "gemm", best_first: bool = True) -> DataFrame:
     """One row for each target whose best match reaches threshold: target_path, target_file_name,
-    best_similarity, best first. A folder against itself finds each image itself; an empty source finds nothing."""
+    best_similarity, best first unless any order will do. A folder against itself finds each image itself; an empty
+    source finds nothing."""
     best = best_matches(sources, targets) if engine == "gemm" else best_matches_sql(sources, targets)
     kept = best.filter(vector.at_least(F.col("best"), threshold)).withColumnRenamed("best", "similarity")
     named = {"path": "target_path", "file_name": "target_file_name", "similarity": "best_similarity"}
-    return ordered(kept).withColumnsRenamed(named)
+    return (ordered(kept) if best_first else kept).withColumnsRenamed(named)
 
 
 def pairs_at_least(rows: DataFrame, threshold: float, key: str = "key", column: str = "features") -> DataFrame:
-    """Pairs a < b of keys whose similarity reaches threshold. The rows are sent in blocks as in best_matches and
-    only pairs that reach it leave a task."""
+    """Pairs a < b of keys whose similarity reaches threshold; null keys are in none. Rows of SOURCE_BYTES at most are
+    sent to all tasks; more of them are dealt into blocks, and each two blocks meet in a cell. Only pairs that reach
+    the threshold leave a task."""
     dim_row = rows.select(F.size(column).alias("n")).filter("n > 0").first()
     schema = "a long, b long, similarity double"
     if dim_row is None:
         return rows.sparkSession.createDataFrame([], schema)
     dim = dim_row["n"]
-    slim = rows.filter(F.size(column) == dim).select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("v"))
+    slim = rows.filter(F.size(column) == dim).select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("v")).filter("key IS NOT NULL")
+
+    def pairs(keys: np.ndarray, m: np.ndarray, names: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
+        for i in range(0, len(m), ROWS):
+            for j in range(0, len(right), ROWS):
+                products = m[i : i + ROWS] @ right[j : j + ROWS].T
+                a, b = np.nonzero(products >= threshold)
+                low = keys[i + a] < names[j + b]
+                yield keys[i + a[low]], names[j + b[low]], products[a[low], b[low]]
+
+    def read(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        vectors = table.column(1)
+        m, good = _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, dim)
+        return table.column(0).to_numpy()[good], m
+
     blocks = max(1, -(-slim.count() * dim * 8 // SOURCE_BYTES))
-    out = []
-    for i in range(blocks):
-        part = slim.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        batch = part.to_batches()[0] if part.num_rows else None
-        if batch is None:
-            continue
-        matrix, good = _matrix(batch.column(1), dim)
-        sent = rows.sparkSession.sparkContext.broadcast((matrix, batch.column(0).to_numpy()[good]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            right, names = sent.value
+    if blocks == 1:
+        sent = rows.sparkSession.sparkContext.broadcast(read(slim.toArrow().combine_chunks()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m, good = _matrix(batch.column(1), dim)
-                keys = batch.column(0).to_numpy()[good]
-                for i in range(0, len(m), ROWS):
-                    products = m[i : i + ROWS] @ right.T
-                    a, b = np.nonzero(products >= threshold)
-                    low = keys[i + a] < names[b]
-                    a, b = a[low], b[low]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i + a]), pa.array(names[b]), pa.array(products[a, b])], ["a", "b", "similarity"])
+                for found in pairs(*read(batch), *sent.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "similarity"])
+
+        return slim.mapInArrow(run, schema)
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    cells = dealt.select("key", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, m = read(table)
+        i, j, block = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("block").to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = list(pairs(keys[left], m[left], keys[right], m[right]))
+        found += pairs(keys[right], m[right], keys[left], m[left]) if i != j else []
+        columns = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, dtype=(np.int64, np.int64, np.float64)[k]) for k in range(3)]
+        return pa.table([pa.array(x) for x in columns], ["a", "b", "similarity"])
 
-        out.append(slim.mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, out) if out else rows.sparkSession.createDataFrame([], schema)
+    return cells.groupBy("i", "j").applyInArrow(meet, schema)
 
 
 def first_vector(candidates: list[DataFrame]) -> list[float] | None:
@@ -194,10 +230,11 @@ def first_vector(candidates: list[DataFrame]) -> list[float] | None:
 
 
 def agreement(scores: DataFrame) -> DataFrame:
-    """Scores (backend, item, similarity) of several backends: for each item the least, the most and the spread."""
-    w = Window.partitionBy()
+    """Scores (backend, item, similarity) of several backends: for each item the least, the most and the spread, and
+    the largest spread of all."""
     each = scores.groupBy("item").agg(F.min("similarity").alias("low"), F.max("similarity").alias("high"))
-    return each.withColumn("spread", F.col("high") - F.col("low")).withColumn("max_spread", F.max("spread").over(w))
+    each = stored(each.withColumn("spread", F.col("high") - F.col("low")), "agreement")
+    return each.withColumn("max_spread", F.lit(each.agg(F.max("spread")).first()[0]).cast("double"))
 
 
 def backend_pairs(vectors: DataFrame) -> DataFrame:

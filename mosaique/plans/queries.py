@@ -91,7 +91,7 @@ def similar_search_sql(spark, sf_dir):
 def similar_topk(spark, sf_dir):
     """The ten best with their ranks: a top-k report."""
     best = similarity.similar(folder(spark, sf_dir), query_vector(spark, sf_dir), "0", -1.0, limit=10)
-    return ranking.ranked(best, F.desc("similarity"), "file_name").select(F.col("path").cast("long").alias("vec_id"), r4("similarity").alias("similarity"), "rank")
+    return ranking.ranked_top(best, 10, F.desc("similarity"), "file_name").select(F.col("path").cast("long").alias("vec_id"), r4("similarity").alias("similarity"), "rank")
 
 
 @query(f"""
@@ -111,7 +111,7 @@ _COMPARE = f"""
 
 def _compared(spark, sf_dir, sources: str, targets: str, threshold: float, engine: str = "gemm") -> DataFrame:
     rows = folder(spark, sf_dir)
-    found = similarity.compare(rows.filter(sources), rows.filter(targets), threshold, engine)
+    found = similarity.compare(rows.filter(sources), rows.filter(targets), threshold, engine, best_first=False)
     return _as_ids(found, "target_path", "best_similarity", "best_similarity")
 
 
@@ -152,9 +152,22 @@ def self_pairs(spark, sf_dir):
 """)
 def find_similar_index(spark, sf_dir):
     """One query against a list of candidates, by their places in it."""
-    rows = folder(spark, sf_dir).filter("label = 1").agg(F.array_sort(F.collect_list(F.struct(F.col("path").cast("long").alias("k"), F.col("features").alias("v")))).alias("c"))
-    found = vector.find_similar(F.array(*(F.lit(float(x)) for x in query_vector(spark, sf_dir))), F.col("c")["v"], 0.1)
-    return rows.select(F.explode(found).alias("r")).select(F.col("r.index").cast("long").alias("index"), r4("r.similarity").alias("similarity"))
+    rows = ranking.numbered(folder(spark, sf_dir).filter("label = 1").select(F.col("path").cast("long").alias("k"), "features"), "k", name="index")
+    found = similarity.similarity_to(rows, query_vector(spark, sf_dir)).filter(vector.at_least(F.col("similarity"), 0.1))
+    return found.select(F.col("index").cast("long").alias("index"), r4("similarity").alias("similarity"))
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id % 50 AS list, {_V} AS v, vec_id // 50 AS place FROM embeddings WHERE vec_id < 500),
+    s AS (SELECT list, place, list_dot_product(c.v, q.{_V}) AS s FROM c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+    SELECT list, row_number() OVER (PARTITION BY list ORDER BY s DESC, place) AS rank, place AS index, round(s, 4) + 0.0 AS similarity FROM s WHERE s >= 0.05
+""")
+def find_similar_lists(spark, sf_dir):
+    """One query against short lists of candidates: 50 lists of ten."""
+    rows = folder(spark, sf_dir).select(F.col("path").cast("long").alias("k"), "features").filter("k < 500")
+    lists = rows.groupBy((F.col("k") % 50).alias("list")).agg(F.array_sort(F.collect_list(F.struct("k", "features"))).alias("c"))
+    found = vector.find_similar(F.array(*(F.lit(float(x)) for x in query_vector(spark, sf_dir))), F.col("c")["features"], 0.05)
+    return lists.select("list", F.posexplode(found).alias("rank", "r")).select("list", (F.col("rank") + 1).cast("long").alias("rank"), F.col("r.index").cast("long").alias("index"), r4("r.similarity").alias("similarity"))
 
 
 @query(f"""
@@ -432,12 +445,11 @@ def cyclic_replication(spark, sf_dir):
     return ranking.cycled(table(spark, sf_dir, "supplier").select("s_suppkey"), 5000, "s_suppkey").select("i", "s_suppkey")
 
 
-@query("SELECT user_id, count(*) AS attempts FROM events GROUP BY user_id HAVING count(*) < 66")
+@query("SELECT user_id, max(n) AS attempts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id HAVING max(n) < 20")
 def request_dedup(spark, sf_dir):
-    """Requests of a user once each, unless tried too often."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("attempts"))
-    return ranking.distinct_requests(rows, "user_id", "attempts", 66)
+    """Requests of a user once each, unless tried too often; a request of a kind is tried as often as it occurs."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("attempts"))
+    return ranking.distinct_requests(rows, "user_id", "attempts", 20)
 
 
 @query("""
@@ -549,8 +561,8 @@ def expected_len(spark, sf_dir):
 
 @query("""
     WITH d AS (SELECT p_partkey, p_size * 40 AS w, floor(p_retailprice)::BIGINT AS h FROM part)
-    SELECT p_partkey, CASE WHEN w >= h THEN 150 ELSE greatest(1, trunc(w::DOUBLE / h * 150)::INT) END AS width,
-        CASE WHEN w >= h THEN greatest(1, trunc(h::DOUBLE / w * 150)::INT) ELSE 150 END AS height FROM d
+    SELECT p_partkey, CASE WHEN w >= h THEN 150 ELSE greatest(1, trunc(w::FLOAT / h::FLOAT * 150::FLOAT)::INT) END AS width,
+        CASE WHEN w >= h THEN greatest(1, trunc(h::FLOAT / w::FLOAT * 150::FLOAT)::INT) ELSE 150 END AS height FROM d
 """)
 def thumb_dims(spark, sf_dir):
     w, h = files.thumbnail_size(F.col("p_size") * 40, F.floor("p_retailprice"), 150)
@@ -616,8 +628,7 @@ def cross_backend_agreement(spark, sf_dir):
 def top_rows(spark, sf_dir):
     """A top-k report over the largest table: each task keeps its best rows only."""
     order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]
-    best = ranking.top(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), 100, *order)
-    return ranking.ranked(best, *order).select("l_orderkey", "l_linenumber", "rank")
+    return ranking.ranked_top(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), 100, *order).select("l_orderkey", "l_linenumber", "rank")
 
 
 @query("""

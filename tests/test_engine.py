@@ -133,6 +133,9 @@ def test_compare_edges(spark):
     mixed = folder(spark, [[float("nan"), 0, 0], [0, 0, 0], [2, 0, 0], [1, 0]], "t")
     assert {r["target_path"]: r["best_similarity"] for r in similarity.compare(a, mixed, 0.0).collect()} == {"t001": 0.0, "t002": 1.0}
     assert similarity.compare(a, mixed, 0.0, engine="sql").count() == 2
+    lengths = folder(spark, [[1, 0], [1, 0, 0]], "t")  # the first source's length counts, in both engines
+    for engine in ("gemm", "sql"):
+        assert [r["target_path"] for r in similarity.compare(folder(spark, [[1, 0, 0], [1, 0]]), lengths, 0.5, engine).collect()] == ["t001"]
 
 
 @pytest.mark.parametrize("engine", ["gemm", "sql"])
@@ -145,6 +148,25 @@ def test_similar(spark, engine):
     assert similarity.similar(rows, [1.0, 0.0], None, 0.0, engine=engine).count() == 4
 
 
+def test_normalising_is_linear_in_the_length(spark):
+    import time
+
+    from mosaique.functions import vector
+
+    def seconds(dim):
+        rows = spark.range(200_000 // dim).select(F.expr(f"transform(sequence(1, {dim}), x -> cast(x + id AS double))").alias("v")).cache()
+        rows.count()
+        began = time.perf_counter()
+        total = rows.select(F.sum(F.aggregate(vector.l2_normalize(F.col("v")), F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+        assert total == pytest.approx(200_000 // dim)
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(10_000) < 12 * seconds(100) + 2
+    row = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    assert [r[0] for r in row.select(vector.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
 def test_pairs_and_agreement(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = unit(rng, 60, 8)
