@@ -7,6 +7,7 @@ import json
 import sys
 import time
 
+from .config import Settings
 from .plans import reports
 from .plans.engine import Engine, NeedsModel
 
@@ -16,6 +17,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json", action="store_true", help="answer with a JSON document")
     p.add_argument("--quiet", action="store_true", help="no progress on stderr")
     p.add_argument("--cache-root", help="where caches are kept; in each folder if left out")
+    p.add_argument("--backend", choices=["tiles", "onnx", "numpy"], help="what makes the vectors; that of the first model file found if left out, else tiles")
+    p.add_argument("--model", help="a model file (.onnx or .safetensors)")
+    p.add_argument("--tier", choices=["fast", "ultra", "high"], help="the side of the images that the numpy backend takes")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("scan", "extract"):
         c = sub.add_parser(name)
@@ -47,14 +51,19 @@ class Throttle:
     def __call__(self, message: str, total: int, processed: int, hits: int, misses: int) -> None:
         if not self.quiet and (time.time() - self.last >= 2 or processed == total):
             self.last = time.time()
-            print(f"{message}: {processed}/{total} images (Cache: {hits} hits, {misses} misses)", file=sys.stderr)
+            print(message, file=sys.stderr)
+
+    def scanned(self, found: int, seconds: float) -> None:
+        if not self.quiet and time.time() - self.last >= 2:
+            self.last = time.time()
+            print(f"{found} images, {seconds:.2f} s", file=sys.stderr)
 
 
 def answer(engine: Engine, args: argparse.Namespace) -> tuple[dict, list[str]]:
     """The JSON document and the lines of the text report."""
     began = time.time()
     if args.command == "scan":
-        doc = reports.scan_document(args.folder, engine.scan(args.folder, args.recursive), time.time() - began)
+        doc = reports.scan_document(args.folder, engine.scan(args.folder, args.recursive, getattr(engine.progress, "scanned", None)), time.time() - began)
         return doc, [f"{doc['count']} images", *(i["path"] for i in doc["images"])]
     if args.command == "extract":
         found = engine.extract(args.folder, args.recursive)
@@ -91,6 +100,12 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
             spark = local()
             spark.sparkContext.setLogLevel("ERROR")
             engine = Engine(spark, cache_root=args.cache_root)
+            chosen = Settings.from_environment()
+            said = engine.load_model(args.backend, args.model, args.tier or chosen.tier, chosen.full)
+            if not args.quiet:
+                print(said if engine.model_path else "no model file found: images are compared by the averages of tiles", file=sys.stderr)
+        elif args.backend or args.model or args.tier:
+            engine.load_model(args.backend, args.model, args.tier or engine.settings.tier, engine.settings.full)
         engine.progress = Throttle(args.quiet)
         doc, lines = answer(engine, args)
     except (OSError, ValueError, RuntimeError) as error:

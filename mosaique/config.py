@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+import sys
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,11 +110,36 @@ def expected_length(path: Column, full: bool = False) -> Column:
     return out.cast("int")
 
 
-def find_model(explicit: str | None, folders: list[str], names: list[str]) -> str | None:
-    """A model file: the one asked for, else that of MOSAIQUE_MODEL, else the first of some names in some folders."""
-    for path in (explicit, os.environ.get("MOSAIQUE_MODEL")):
+def find_model(explicit: str | None, folders: list[str], names: list[str], variable: str = "MOSAIQUE_MODEL") -> str | None:
+    """A model file: the one asked for, else that of an environment variable, else the first of some names in some
+    folders."""
+    for path in (explicit, os.environ.get(variable)):
         if path:
             if not os.path.isfile(path):
                 raise FileNotFoundError(path)
             return path
     return next((p for f in folders for n in names if os.path.isfile(p := os.path.join(f, n))), None)
+
+
+#: The files that a backend looks for, and the variable that names one.
+MODEL_FILES = {"onnx": (["model.onnx", "model_q4.onnx"], "MOSAIQUE_ONNX_MODEL"), "numpy": (["model.safetensors"], "MOSAIQUE_NUMPY_MODEL")}
+
+
+def model_for(backend: str, explicit: str | None = None) -> str | None:
+    """The model file of a backend: the one asked for, that of its variable, or one in MOSAIQUE_MODELS, in models beside
+    the running script or in models here."""
+    names, variable = MODEL_FILES[backend]
+    folders = [os.environ.get("MOSAIQUE_MODELS", ""), os.path.join(os.path.dirname(os.path.abspath(sys.argv[0])), "models"), "models"]
+    return find_model(explicit, [f for f in folders if f], names, variable)
+
+
+def settings_for(backend: str, path: str | None, tier: str = "fast", full: bool = False) -> Settings:
+    """Settings of a model file: its size by its name, small if that tells nothing; a tier sets the side of the images
+    that the numpy backend takes. An ONNX file has its own."""
+    name = os.path.basename(path or "").lower()
+    hidden = next((dim for part, dim in DIM_BY_NAME if part in name), PRESETS["small"].hidden)
+    model = next(m for m in PRESETS.values() if m.hidden == hidden)
+    if backend == "numpy":
+        side = input_side(tier, model)
+        model = replace(model, height=side, width=side)
+    return Settings(full, tier, model, f"{backend}:{os.path.basename(path)}" if path else "default")

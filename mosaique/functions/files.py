@@ -112,9 +112,25 @@ def speed_text(rate_: Column) -> Column:
     return F.when(rate_ >= 100, F.floor(rate_ + 0.5).cast("string")).otherwise(F.format_string("%.1f", rate_))
 
 
-#: Fixed value: the message of a progress event.
+#: The messages of progress events.
 PROGRESS = "Extracting features: %d/%d images (Cache: %d hits, %d misses)"
+LOADING = "Loading features: 0/%d images"
+LOADED = "Loaded features: %d/%d images from cache (%d to extract)"
+EXTRACTED = "Extracted features from %d images (Cache: %d hits, %d misses) at %.0f img/s."
 
 
 def progress_text(processed: Column, total: Column, hits: Column, misses: Column) -> Column:
     return F.format_string(PROGRESS, processed, total, hits, misses)
+
+
+def loading_text(total: Column) -> Column:
+    return F.format_string(LOADING, total)
+
+
+def loaded_text(hits: Column, total: Column, misses: Column) -> Column:
+    return F.format_string(LOADED, hits, total, misses)
+
+
+def extracted_text(total: Column, hits: Column, misses: Column, seconds: Column) -> Column:
+    """With the images a second as a whole number, 0 if it took no time."""
+    return F.format_string(EXTRACTED, total, hits, misses, F.when(seconds > 0, total / seconds).otherwise(F.lit(0.0)))

@@ -1,12 +1,13 @@
 """Embeddings of images by a pluggable backend.
 
-A backend is made once in each Python worker. A batch that fails is tried again image by image; an image that
+A backend is made once in each Python worker, which later tasks use again. A batch that fails is tried again image by image; an image that
 fails alone has a null vector and an error, and the rest go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Protocol
 
 import numpy as np
@@ -48,7 +49,9 @@ class HistogramBackend:
 
 
 class OnnxBackend:
-    """An ONNX model whose first input takes (n, 3, height, width) and whose first output is used."""
+    """An ONNX model whose first input takes (n, 3, height, width) and whose first output is used. Where the file
+    fixes height and width, images have these. A session uses one thread unless told otherwise, as a task for each
+    core runs beside it."""
 
     #: Providers in the order they are tried.
     PROVIDERS = ["TensorrtExecutionProvider", "CUDAExecutionProvider", "DmlExecutionProvider", "CPUExecutionProvider"]
@@ -65,6 +68,9 @@ class OnnxBackend:
         options.intra_op_num_threads = self.threads
         there = [p for p in self.PROVIDERS if p in onnxruntime.get_available_providers()]
         self.session, self.path = onnxruntime.InferenceSession(path, options, providers=there), path
+        sides = self.session.get_inputs()[0].shape[2:]
+        if len(sides) == 2 and all(isinstance(x, int) for x in sides):
+            self.config = replace(self.config, height=sides[0], width=sides[1])
 
     def extract(self, images: list[bytes]) -> np.ndarray:
         tensors = np.stack([media.preprocess(media.decode(x), self.config) for x in images])
@@ -103,20 +109,36 @@ def extract_all(backend: Backend, images: list[bytes | None]) -> tuple[list[np.n
     return out, errors
 
 
+#: The backend that this worker made last, and what it was made from.
+_MADE: dict[tuple, Backend] = {}
+
+
+def backend_for(make: Callable[[ModelConfig], Backend], config: ModelConfig, path: str | None) -> Backend:
+    """The backend of a maker, a model and a file, kept for the worker's next tasks. One that is made by a function
+    without a name of its own is not kept."""
+    named = getattr(make, "__qualname__", "<")
+    key = (getattr(make, "__module__", ""), named, config, path)
+    if key not in _MADE:
+        made = make(config)
+        made.load(path)
+        _MADE.clear()
+        if "<" in named:
+            return made
+        _MADE[key] = made
+    return _MADE[key]
+
+
 def embed(rows: DataFrame, make: Callable[[ModelConfig], Backend], settings: Settings, model_path: str | None = None, content: str = "content") -> DataFrame:
     """rows with `features` and `error` in place of the bytes in content."""
     names = [c for c in rows.columns if c not in (content, "features", "error")]
     size = chunk_size(input_side(settings.tier, settings.model))
-    made: dict[str, Backend] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "backend" not in made:
-            made["backend"] = make(settings.model)
-            made["backend"].load(model_path)
+        backend = backend_for(make, settings.model, model_path)
         for batch in batches:
             for i in range(0, batch.num_rows, size):
                 part = batch.slice(i, size)
-                vectors, errors = extract_all(made["backend"], part.column(0).to_pylist())
+                vectors, errors = extract_all(backend, part.column(0).to_pylist())
                 vectors = [None if v is None else pooled(v[None], settings)[0] for v in vectors]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], [*names, "features", "error"])
 

@@ -82,3 +82,11 @@ def encode(pixels: np.ndarray, quality: int = 80) -> bytes:
     quants = b"".join(bytes([i]) + bytes(t[ZIGZAG].tolist()) for i, t in enumerate(tables))
     head = _part(0xE0, b"JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00") + _part(0xDB, quants) + _part(0xC0, frame) + _part(0xC4, dc + ac)
     return b"\xff\xd8" + head + _part(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + data + b"\xff\xd9"
+
+
+def dimensions(data: bytes) -> tuple[int, int]:
+    """Width and height that a JPEG's frame header names."""
+    at = 2
+    while data[at] == 0xFF and not 0xC0 <= data[at + 1] <= 0xC2:
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")

@@ -49,15 +49,31 @@ def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
+#: The passes of an interlaced PNG as first row, first column, steps of rows and of columns.
+ADAM7 = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
+
+
+def _samples(raw: bytes, height: int, width: int, channels: int, depth: int) -> np.ndarray:
+    """Rows of PNG samples, of two bytes the first."""
+    stride = (width * channels * depth + 7) // 8
+    rows = _unfilter(raw, height, stride, max(1, channels * depth // 8))
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
+        rows = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+    return rows[:, : width * channels].reshape(height, width, channels)
+
+
 def _decode_png(data: bytes) -> np.ndarray:
     at, packed, palette = 8, [], None
-    width = height = depth = color = 0
+    width = height = depth = color = interlace = 0
     while at + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             width, height, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or interlace or color not in (0, 2, 3, 4, 6):
+            if depth not in (1, 2, 4, 8, 16) or interlace > 1 or color not in (0, 2, 3, 4, 6):
                 raise Undecodable("kind of PNG")
         elif kind == b"PLTE":
             palette = np.frombuffer(body, dtype=np.uint8).reshape(-1, 3)
@@ -66,13 +82,21 @@ def _decode_png(data: bytes) -> np.ndarray:
         at += 12 + size
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color, 0)
     raw = zlib.decompress(b"".join(packed))
-    if not width or not height or len(raw) < height * (width * channels + 1):
+    passes = ADAM7 if interlace else [(0, 0, 1, 1)]
+    parts = [(y, x, dy, dx, -(-(height - y) // dy), -(-(width - x) // dx)) for y, x, dy, dx in passes if height > y and width > x]
+    if not width or not height or len(raw) < sum(h * ((w * channels * depth + 7) // 8 + 1) for *_, h, w in parts):
         raise Undecodable("short PNG")
-    pixels = _unfilter(raw, height, width * channels, channels).reshape(height, width, channels)
+    pixels, at = np.zeros((height, width, channels), dtype=np.uint8), 0
+    for y, x, dy, dx, h, w in parts:
+        size = h * ((w * channels * depth + 7) // 8 + 1)
+        pixels[y::dy, x::dx] = _samples(raw[at : at + size], h, w, channels, depth)
+        at += size
     if color == 3:
         if palette is None:
             raise Undecodable("no palette")
         return palette[np.minimum(pixels[:, :, 0], len(palette) - 1)]
+    if depth < 8:
+        pixels = pixels * np.uint8(255 // ((1 << depth) - 1))
     return np.repeat(pixels[:, :, :1], 3, axis=2) if color in (0, 4) else pixels[:, :, :3]
 
 
@@ -157,7 +181,8 @@ def thumbnail(data: bytes | None, size: int, quality: int = 80) -> bytes:
 
 
 def thumbnails(rows: DataFrame, size: int = 150, key: str = "path", content: str = "content") -> DataFrame:
-    """Per distinct key and size: key, size, thumbnail (JPEG bytes, null if it cannot be made) and error."""
+    """Per distinct key and size: key, size, thumbnail (JPEG bytes, null if it cannot be made), its width and height,
+    and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,16 +190,44 @@ def thumbnails(rows: DataFrame, size: int = 150, key: str = "path", content: str
                 part, made = batch.slice(i, 64), []
                 for data in part.column(1):
                     try:
-                        made.append((thumbnail(data.as_py(), size), None))
+                        small = thumbnail(data.as_py(), size)
+                        made.append((small, *jpeg.dimensions(small), None))
                     except Undecodable as error:
-                        made.append((None, str(error)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([size] * len(made), pa.int32()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())],
-                    ["key", "size", "thumbnail", "error"],
-                )
+                        made.append((None, None, None, str(error)))
+                kinds = [pa.binary(), pa.int32(), pa.int32(), pa.string()]
+                columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([size] * len(made), pa.int32()), *columns], ["key", "size", "thumbnail", "width", "height", "error"])
 
     once = rows.groupBy(key).agg(F.first(content, ignorenulls=True).alias("content"))
-    return once.mapInArrow(run, "key string, size int, thumbnail binary, error string").withColumnRenamed("key", key)
+    return once.mapInArrow(run, "key string, size int, thumbnail binary, width int, height int, error string").withColumnRenamed("key", key)
+
+
+def thumbnail_counts(made: DataFrame, column: str = "thumbnail") -> DataFrame:
+    """One row: of how many images there is a thumbnail, and of how many there is none."""
+    return made.agg(F.count_if(F.col(column).isNotNull()).alias("made"), F.count_if(F.col(column).isNull()).alias("failed"))
+
+
+class ThumbnailCache:
+    """Thumbnails as base64 by path and size, some thousands at most; a batch that is too many for that drops the
+    oldest some hundred. Failures are not kept, so they are tried again."""
+
+    def __init__(self, most: int = 4096, dropped: int = 256):
+        self.most, self.dropped = most, dropped
+        self.held: dict[tuple[str, int], str] = {}
+
+    def batch(self, contents: DataFrame, paths: list[str], size: int = 150, force: bool = False) -> list[str | None]:
+        """One entry for each path, null if it has no thumbnail. contents has path and content; only rows of the
+        paths that are not held, all with force, are read."""
+        wanted = list(dict.fromkeys(p for p in paths if force or (p, size) not in self.held))
+        rows = thumbnails(contents.filter(F.col("path").isin(wanted)), size).select("path", F.base64("thumbnail").alias("text")).collect() if wanted else []
+        fresh = {r["path"]: r["text"].replace("\r\n", "") for r in rows if r["text"]}
+        out = [fresh.get(p) or self.held.get((p, size)) if p in fresh or not force else None for p in paths]
+        for path, text in fresh.items():
+            if (path, size) not in self.held and len(self.held) >= self.most:
+                for key in list(self.held)[: self.dropped]:
+                    del self.held[key]
+            self.held[path, size] = text
+        return out
 
 
 def jvm_images(spark: SparkSession, root: str) -> DataFrame:

@@ -81,7 +81,7 @@ class VisionTransformer:
         self.config = config
         find = lambda names: next((tensors[n] for n in names if n in tensors), None)
         self.top = {k: find(v) for k, v in NAMES.items()}
-        missing = [k for k, v in self.top.items() if v is None and k != "registers"]
+        missing = [k for k, v in self.top.items() if v is None and (k != "registers" or config.registers)]
         if missing:
             raise ValueError(f"weights are missing: {missing}")
         self.layers = []
@@ -97,8 +97,8 @@ class VisionTransformer:
                 layer["q.w"], layer["k.w"], layer["v.w"] = np.split(layer["qkv.w"], 3)
                 if layer["qkv.b"] is not None:
                     layer["q.b"], layer["k.b"], layer["v.b"] = np.split(layer["qkv.b"], 3)
-            if layer["q.w"] is None:
-                raise ValueError(f"weights of layer {i} are missing")
+            if missing := [f"{short}.w" for short in ("norm1", "norm2", "q", "k", "v", "out", "up", "down") if layer[f"{short}.w"] is None]:
+                raise ValueError(f"weights of layer {i} are missing: {missing}")
             self.layers.append(layer)
         self.turns = self._turns()
 

@@ -11,14 +11,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Settings, model_for, settings_for
+from ..functions import files as messages
 from ..functions.files import normal_path
 from ..operators import cache as caches
-from ..operators import embed, media, similarity
+from ..operators import embed, media, similarity, vit
 from ..operators.cache import FeatureCache
 from ..sources import catalog
 from ..storage import stored
 
+#: Backends that need a model file, and the name of the one that needs none.
+BACKENDS, TILES = {"onnx": embed.OnnxBackend, "numpy": vit.NumpyBackend}, "tiles"
 #: Snapshots that stay in memory.
 SNAPSHOTS = 4
 
@@ -116,8 +119,8 @@ class Engine:
     def _keys(self) -> dict[str, str]:
         return {} if self.legacy_keys else {"model_id": self.settings.model_id, "tier": self.settings.tier}
 
-    def scan(self, folder: str, recursive: bool = True) -> DataFrame:
-        return catalog.scan(self.spark, folder, recursive)
+    def scan(self, folder: str, recursive: bool = True, progress: Callable[[int, float], None] | None = None) -> DataFrame:
+        return catalog.scan(self.spark, folder, recursive, progress)
 
     def _entries(self, folder: str, recursive: bool = True) -> DataFrame:
         """The catalog with the identity that the cache is keyed by, listed once."""
@@ -142,14 +145,16 @@ class Engine:
         """A vector for each image, from the cache or freshly made and then cached, in order of file_name."""
         began = time.time()
         hits, misses, n_hits, n_misses = self._resolved(folder, recursive)
-        self.progress("resolved", n_hits + n_misses, n_hits, n_hits, n_misses)
+        total = n_hits + n_misses
+        self.progress(messages.LOADED % (n_hits, total, n_misses), total, n_hits, n_hits, n_misses)
         rows, failed = hits, 0
         if n_misses:
             fresh, failed = self._embedded(misses)
             self.cache(folder).store(fresh.select("path", "file_name", "file_size", "last_modified", "features"), self.settings.model_id, self.settings.tier)
             rows = caches.merged(hits, fresh.select(*hits.columns))
-        self.progress("done", n_hits + n_misses, n_hits + n_misses - failed, n_hits, n_misses)
-        return Extracted(rows.orderBy("file_name", "path"), n_hits, n_misses, failed, time.time() - began)
+        seconds = time.time() - began
+        self.progress(messages.EXTRACTED % (total, n_hits, n_misses, total / max(seconds, 1e-9)), total, total, n_hits, n_misses)
+        return Extracted(rows.orderBy("file_name", "path"), n_hits, n_misses, failed, seconds)
 
     def _query_vector(self, source: str, folder_rows: DataFrame, folder: str) -> list[float] | None:
         """The query's vector: from the folder, from the cache if the file is unchanged, else None."""
@@ -221,6 +226,22 @@ class Engine:
     def thumbnails(self, folder: str, size: int = 150) -> DataFrame:
         return media.thumbnails(catalog.contents(self.scan(folder).select("path")), size)
 
+    def load_model(self, backend: str | None = None, path: str | None = None, tier: str = "fast", full: bool = False) -> str:
+        """Takes a backend and its model file; without a backend the first of onnx and numpy that finds a file, else
+        the tiles, which need none. Says what was loaded."""
+        if backend not in (None, TILES, *BACKENDS):
+            raise ValueError(f"unknown backend: {backend}")
+        if backend is None and path:
+            backend = "numpy" if path.endswith(".safetensors") else "onnx"
+        kinds = [backend] if backend else [*BACKENDS]
+        kind, file = next(((k, f) for k in kinds if k in BACKENDS and (f := model_for(k, path))), (TILES, None))
+        if backend in BACKENDS and not file:
+            raise FileNotFoundError(f"no model file for {backend}")
+        self.make, self.model_path = BACKENDS.get(kind, embed.HistogramBackend), file
+        self.settings = settings_for(kind, file, tier, full)
+        self.snapshots = SnapshotRegistry()
+        return f"{kind} model loaded: {file or 'none needed'}"
+
     def backend_info(self) -> dict:
         if self.make is None:
             return {"loaded": False}

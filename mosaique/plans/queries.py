@@ -9,6 +9,7 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..operators import cache, embed, media, metrics, ranking, similarity
 from ..operators.cache import FeatureCache
 from ..sources import catalog
 from ..storage import fresh_path
+from ..streaming import ingest
+from .engine import Engine, NeedsModel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -363,14 +366,14 @@ def cache_upsert_latest(spark, sf_dir):
     return cache.upsert(cache.upsert(at(1, 1), at(2, 3)), at(3, 9)).select("doc_id", "file_size", "updated_at")
 
 
-@query("SELECT count(*) AS cached_count, true AS is_valid FROM embeddings")
+@query("SELECT count(*) AS cached_count, true AS has_bytes, true AS is_valid FROM embeddings")
 def cache_stats(spark, sf_dir):
     """A cache written, written again and counted."""
     store = FeatureCache(spark, fresh_path(spark, "cache"))
     rows = folder(spark, sf_dir).withColumns({"file_size": F.lit(1).cast("long"), "last_modified": F.lit(2).cast("long")})
     store.store(rows.filter("label < 6"))
     store.store(rows.filter("label > 3"))
-    return store.stats().select("cached_count", "is_valid")
+    return store.stats().select("cached_count", (F.col("cache_size_bytes") > 0).alias("has_bytes"), "is_valid")
 
 
 @query("SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 = 0")
@@ -526,7 +529,11 @@ def filetime(spark, sf_dir):
     SELECT event_id, round(least(value / greatest(event_id % 3, 1e-9), 1e6), 4) + 0.0 AS rate,
         CASE WHEN value >= 100 THEN floor(value + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', round(value, 1)) END AS speed,
         round(CASE WHEN event_id > 0 THEN (event_id % 10) / event_id::DOUBLE ELSE 0 END, 8) AS done,
-        'Extracting features: ' || (event_id % 10) || '/' || event_id || ' images (Cache: ' || (event_id % 3) || ' hits, ' || (event_id % 7) || ' misses)' AS message
+        'Extracting features: ' || (event_id % 10) || '/' || event_id || ' images (Cache: ' || (event_id % 3) || ' hits, ' || (event_id % 7) || ' misses)' AS message,
+        'Loading features: 0/' || event_id || ' images' AS loading,
+        'Loaded features: ' || (event_id % 3) || '/' || event_id || ' images from cache (' || (event_id % 7) || ' to extract)' AS loaded,
+        'Extracted features from ' || (event_id * 2) || ' images (Cache: ' || (event_id % 3) || ' hits, ' || (event_id % 7) || ' misses) at '
+            || CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN event_id * 2 ELSE event_id END || ' img/s.' AS extracted
     FROM events
 """)
 def progress_text(spark, sf_dir):
@@ -537,6 +544,9 @@ def progress_text(spark, sf_dir):
         files.speed_text(v).alias("speed"),
         F.round(files.ratio((i % 10).cast("double"), i), 8).alias("done"),
         files.progress_text(i % 10, i, i % 3, i % 7).alias("message"),
+        files.loading_text(i).alias("loading"),
+        files.loaded_text(i % 3, i, i % 7).alias("loaded"),
+        files.extracted_text(i * 2, i % 3, i % 7, (i % 3).cast("double")).alias("extracted"),
     )
 
 
@@ -660,51 +670,149 @@ def _pictures(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(draw, "p_partkey long, path string, content binary")
 
 
-@query()
+_DRAWN = "SELECT p_partkey, p_size + 2 AS h, p_partkey % 17 <> 0 AS good FROM part"
+
+
+@query(f"""
+    SELECT p_partkey, CASE WHEN good THEN CASE WHEN h <= 24 THEN 16 ELSE greatest(1, trunc(24::FLOAT / h::FLOAT * 16::FLOAT)::INT) END END AS width,
+        CASE WHEN good THEN CASE WHEN h <= 24 THEN greatest(1, trunc(h::FLOAT / 24::FLOAT * 16::FLOAT)::INT) ELSE 16 END END AS height,
+        good AS jpeg, CASE WHEN NOT good THEN 'unknown format' END AS error FROM ({_DRAWN})
+""")
 def thumbnails(spark, sf_dir):
     made = media.thumbnails(_pictures(spark, sf_dir), 16)
-    return made.select(F.col("path").cast("long").alias("p_partkey"), F.octet_length("thumbnail").alias("n_bytes"), files.mime(F.col("thumbnail")).alias("mime"), "error")
+    jpeg_ = F.coalesce(files.is_jpeg(F.col("thumbnail")), F.lit(False))
+    return made.select(F.col("path").cast("long").alias("p_partkey"), "width", "height", jpeg_.alias("jpeg"), "error")
 
 
-@query()
+@query(f"SELECT count(*) FILTER (WHERE good) AS made, count(*) FILTER (WHERE NOT good) AS failed FROM ({_DRAWN})")
+def thumbnail_counts(spark, sf_dir):
+    return media.thumbnail_counts(media.thumbnails(_pictures(spark, sf_dir), 8))
+
+
+@query(f"""
+    SELECT p_partkey, CASE WHEN good THEN 384 ELSE -1 END AS dim, CASE WHEN good THEN 1.0::DOUBLE END AS norm,
+        CASE WHEN NOT good THEN 'unknown format' END AS error FROM ({_DRAWN})
+""")
 def embed_stub(spark, sf_dir):
     """A vector for each picture; what cannot be decoded has an error and does not stop the rest."""
     rows = embed.embed(_pictures(spark, sf_dir), embed.HistogramBackend, config.Settings())
-    return rows.select("p_partkey", F.size("features").alias("dim"), r4(vector.norm(F.col("features"))).alias("norm"), "error")
+    return rows.select("p_partkey", F.coalesce(F.size("features"), F.lit(-1)).alias("dim"), r4(vector.norm(F.col("features"))).alias("norm"), "error")
+
+
+@query(f"SELECT round(max(1 - list_dot_product(a.{_V}, b.{_V})), 4) + 0.0 AS deviation, count(*) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def max_deviation(spark, sf_dir):
+    """The largest deviation of a vector from the next one."""
+    a = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return a.join(b, "vec_id").agg(r4(F.max(1 - vector.dot(F.col("x"), F.col("y")))).alias("deviation"), F.count(F.lit(1)).alias("n"))
+
+
+def _local_folder(spark, name: str) -> str:
+    """A new folder that the driver and the tasks list and read with the machine's own calls, in the shared one, which
+    must be mounted."""
+    path = fresh_path(spark, name)
+    if not path.startswith("file:") and "://" in path:
+        raise RuntimeError(f"{path} is no mounted folder")
+    root = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(root)
+    return root
+
 
+_FILES = ["a.jpg", "B.PNG", "_under.png", ".dot.png", "t.txt", "noext", "sub/c.webp", "sub/a.jpg", "sub/.hid/e.png", "sub/deep/er/z.gif"]
 
-@query()
+
+@query(f"""
+    SELECT path, string_split(path, '/')[-1] AS file_name, strlen(path) AS file_size, 0::BIGINT AS with_thumbnail
+    FROM (SELECT unnest({_FILES}) AS path) WHERE NOT regexp_matches('/' || path, '/[.]') AND regexp_matches(lower(path), '[^/][.](jpg|jpeg|png|bmp|gif|webp)$')
+""")
 def folder_scan(spark, sf_dir):
-    """The catalog of a folder of files, hidden ones and other kinds among them. The folder is made in the shared
-    one, which must be mounted, as the scan lists it with the machine's own calls."""
-    root = fresh_path(spark, "scan").removeprefix("file://")
-    for name in ("a.jpg", "B.PNG", "_under.png", ".dot.png", "t.txt", "noext", "sub/c.webp", "sub/a.jpg", "sub/.hid/e.png"):
+    """The catalog of a folder of files, hidden ones and other kinds among them."""
+    root = _local_folder(spark, "scan")
+    for name in _FILES:
         os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
         with open(f"{root}/{name}", "wb") as out:
             out.write(b"x" * len(name))
-    return catalog.scan(spark, root).select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "file_name", "file_size")
+    rows = catalog.scan(spark, root, progress=lambda found, seconds: None)
+    return rows.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "file_name", "file_size", F.lit(catalog.thumbnail_count(rows)).cast("long").alias("with_thumbnail"))
+
+
+def _photos(spark, sf_dir, name: str) -> str:
+    """A folder with a small PNG for each nation, of which every seventh file is broken."""
+    root = _local_folder(spark, name)
+    for (key,) in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # a table of fixed size
+        rng = np.random.default_rng(key)
+        with open(f"{root}/{key:03d}.png", "wb") as out:
+            out.write(media.encode_png(rng.integers(0, 255, (9, 11, 3), dtype=np.uint8)) if key % 7 else b"broken")
+    return root
+
+
+_GOOD = "SELECT count(*) AS n, count(*) FILTER (WHERE n_nationkey % 7 <> 0) AS good FROM nation"
 
 
-@query()
+@query(f"""
+    SELECT unnest(['cached at first', 'extract', 'extract again', 'cached', 'similar from cache', 'similar', 'in memory', 'limited', 'compare', 'stats', 'cleared', 'in memory after']) AS step,
+        unnest([n, n, good, n - good, n - good, good - 1, good - 1, 2, good, good, 1, 0])::BIGINT AS n, unnest(['needs model', 'misses', 'hits', 'needs model', 'needs model', 'rows', 'rows', 'rows', 'rows', 'valid', 'done', 'none']) AS what
+    FROM ({_GOOD})
+""")
+def engine_session(spark, sf_dir):
+    """A folder asked for before and after its vectors are made: what is answered from the cache, from memory, and
+    what needs a model."""
+    root = _photos(spark, sf_dir, "photos")
+    settings = config.Settings(model=config.ModelConfig(24, 1, 1, 4, height=16, width=16))
+    engine = Engine(spark, settings, cache_root=fresh_path(spark, "caches"))
+    source, steps = f"{root}/001.png", []
+    told = lambda found, what="rows": (found.misses, "needs model") if isinstance(found, NeedsModel) else (0, "none") if found is None else (found.count(), what)
+    steps.append(("cached at first", *told(engine.cached_folder(root))))
+    steps.append(("extract", engine.extract(root).misses, "misses"))
+    steps.append(("extract again", engine.extract(root).hits, "hits"))
+    steps.append(("cached", *told(engine.cached_folder(root))))
+    steps.append(("similar from cache", *told(engine.similar(source, root, -1.0, cache_only=True))))
+    steps.append(("similar", *told(engine.similar(source, root, -1.0))))
+    steps.append(("in memory", *told(engine.similar_in_snapshot(source, root, -1.0))))
+    steps.append(("limited", *told(engine.similar_in_snapshot(source, root, -1.0, limit=2))))
+    steps.append(("compare", *told(engine.compare(root, root, 0.99))))
+    steps.append(("stats", engine.cache_stats(root).first()["valid_count"], "valid"))
+    steps.append(("cleared", int(engine.clear_cache(root)), "done"))
+    steps.append(("in memory after", *told(engine.similar_in_snapshot(source, root, -1.0))))
+    return spark.createDataFrame(steps, "step string, n long, what string")
+
+
+@query("SELECT s_suppkey, 24 AS dim, 1.0::DOUBLE AS norm FROM supplier WHERE s_suppkey % 17 <> 0")
 def streaming_ingest(spark, sf_dir):
-    """documents as a stream in micro-batches, each upserted into a table by foreachBatch."""
+    """Pictures that arrive as files, embedded in micro-batches and upserted into a cache; a second run of the same
+    stream finds nothing new."""
+    inbox, store, state = fresh_path(spark, "inbox"), FeatureCache(spark, fresh_path(spark, "ingested")), fresh_path(spark, "stream-state")
+    settings = config.Settings(model=config.ModelConfig(24, 1, 1, 4, height=16, width=16))
+
+    def put(batches):
+        folder_, at = fs.FileSystem.from_uri(inbox)
+        folder_.create_dir(at, recursive=True)
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                pixels = np.full((8, 8, 3), key % 256, dtype=np.uint8)
+                pixels[: key % 5 + 1] = (255, key * 7 % 256, 0)
+                with folder_.open_output_stream(f"{at}/{key}.png") as out:
+                    out.write(media.encode_png(pixels) if key % 17 else b"no image")
+            yield batch
+
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("key")).repartition(8).mapInArrow(put, "key long").count()
+    for _ in range(2):
+        ingest.ingest(spark, inbox, store, state, settings=settings, files_per_batch=512).awaitTermination()
+    found = store.rows()
+    return found.select(F.regexp_extract("file_name", r"^(\d+)", 1).cast("long").alias("s_suppkey"), F.col("feature_length").alias("dim"), r4(vector.norm(F.col("features"))).alias("norm"))
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def streaming_rows(spark, sf_dir):
+    """documents as a stream in micro-batches, each upserted by foreachBatch, so that a batch tried again changes
+    nothing."""
     source = table(spark, sf_dir, "documents")
-    out, checkpoint, inbox = fresh_path(spark, "ingested"), fresh_path(spark, "stream-state"), fresh_path(spark, "inbox")
+    out, checkpoint, inbox = fresh_path(spark, "rows"), fresh_path(spark, "stream-state"), fresh_path(spark, "inbox")
     source.select("doc_id", "n_chars").repartition(4, "doc_id").write.parquet(inbox)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/part={number}")
 
     stream = spark.readStream.schema("doc_id long, n_chars long").option("maxFilesPerTrigger", 2).parquet(inbox)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("doc_id long, n_chars long, batch int").parquet(f"{out}/part=*")
-
-
-SQL["streaming_ingest_rows"] = "SELECT doc_id, n_chars FROM documents"
-
-
-def streaming_ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming_ingest(spark, sf_dir).select("doc_id", "n_chars")
-
-
-QUERIES["streaming_ingest_rows"] = streaming_ingest_rows
+    return spark.read.schema("doc_id long, n_chars long").parquet(f"{out}/part=*")

@@ -9,7 +9,8 @@ an underscore.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,19 @@ class NotAFolder(ValueError):
     """The root of a scan is missing or no directory."""
 
 
+#: Folders that are listed apart, at least, where there are so many.
+FOLDERS = 64
+
+
+def folders_in(folder: str) -> list[str]:
+    """The folders in a folder, but those whose names begin with a dot; none if it cannot be listed."""
+    try:
+        with os.scandir(folder) as entries:
+            return sorted(e.path for e in entries if not e.name.startswith(".") and e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
+
+
 class _Part(InputPartition):
     def __init__(self, folder: str, deep: bool):
         super().__init__(folder)
@@ -63,12 +77,15 @@ class _Reader(DataSourceReader):
         self.root, self.deep = root, deep
 
     def partitions(self) -> list[InputPartition]:
-        """The root's own files, and each folder in it."""
-        below = []
-        if self.deep:
-            with os.scandir(self.root) as entries:
-                below = sorted(e.path for e in entries if not e.name.startswith(".") and e.is_dir(follow_symlinks=False))
-        return [_Part(self.root, False), *(_Part(p, True) for p in below)]
+        """The root's own files, and each folder in it; a level further down while those are few, so that one deep
+        tree is not one part."""
+        if not self.deep:
+            return [_Part(self.root, False)]
+        flat, deep = [], [self.root]
+        while deep and len(deep) < FOLDERS:
+            below = [x for folder in deep for x in folders_in(folder)]
+            flat, deep = flat + deep, below
+        return [*(_Part(p, False) for p in flat), *(_Part(p, True) for p in deep)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -100,17 +117,36 @@ class CatalogSource(DataSource):
         return _Reader(self.options["path"], self.options.get("recursive", "true").lower() == "true")
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """The catalog in order of file_name, then path."""
+def scan(spark: SparkSession, root: str, recursive: bool = True, progress: Callable[[int, float], None] | None = None) -> DataFrame:
+    """The catalog in order of file_name, then path.
+
+    With progress the folder is listed at once, a part at a time, and progress is called with the number of files
+    found so far and the seconds: every quarter of a second at most, and at the end."""
     if not os.path.exists(root):
         raise NotAFolder(f"folder does not exist: {root}")
     if not os.path.isdir(root):
         raise NotAFolder(f"not a directory: {root}")
     spark.dataSource.register(CatalogSource)
     rows = spark.read.format("image_catalog").option("recursive", str(recursive)).load(root)
+    if progress is not None:
+        rows = rows.persist()
+        began = told = time.monotonic()
+        found = 0
+        counts = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        for row in counts.toLocalIterator(prefetchPartitions=True):
+            found += row["n"]
+            if time.monotonic() - told >= 0.25:
+                told = time.monotonic()
+                progress(found, told - began)
+        progress(found, time.monotonic() - began)
     return rows.orderBy("file_name", "path")
 
 
+def thumbnail_count(entries: DataFrame) -> int:
+    """How many images of a catalog have a thumbnail already."""
+    return entries.agg(F.count("thumbnail").alias("n")).first()["n"]
+
+
 def scan_binary(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """The catalog by Spark's binaryFile source; only names, lengths and times are read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").load(root)

@@ -486,3 +486,150 @@ def test_streaming_ingest(spark, tree, tmp_path):
         streams.ingest(spark, f"file:{tree}", store, f"file://{tmp_path}/state", settings=SETTINGS, files_per_batch=2, progress=seen.append).awaitTermination()
     spark.streams.removeListener(watch)
     assert {r["file_name"] for r in store.load(24).collect()} == {"a.jpg", "B.PNG", "c.webp", "link.jpg"} and max(p.processed for p in seen) >= 4
+
+
+def adam7(pixels: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The parts of an interlaced picture as rows of bytes."""
+    return [pixels[y::dy, x::dx] for y, x, dy, dx in media.ADAM7 if pixels[y::dy, x::dx].size]
+
+
+def png_of(parts: list[np.ndarray], size: tuple[int, int], depth: int, color: int, interlace: int, palette: bytes = b"") -> bytes:
+    part = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    head = part(b"IHDR", struct.pack(">IIBBBBB", size[1], size[0], depth, color, 0, 0, interlace))
+    rows = b"".join(b"\0" + row.tobytes() for p in parts for row in p)
+    return b"\x89PNG\r\n\x1a\n" + head + (part(b"PLTE", palette) if palette else b"") + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("size", [(1, 1), (3, 2), (9, 13), (16, 16)])
+def test_kinds_of_png(size):
+    rng = np.random.default_rng(size[0])
+    rgb = rng.integers(0, 256, (*size, 3), dtype=np.uint8)
+    flat = [p.reshape(len(p), -1) for p in adam7(rgb)]
+    assert (media.decode(png_of(flat, size, 8, 2, 1)) == rgb).all()
+    wide = lambda p: np.stack([p, rng.integers(0, 256, p.shape, dtype=np.uint8)], axis=-1).reshape(len(p), -1)
+    assert (media.decode(png_of([wide(rgb)], size, 16, 2, 0)) == rgb).all()
+    assert (media.decode(png_of([wide(p) for p in adam7(rgb)], size, 16, 2, 1)) == rgb).all()
+    for depth in (1, 2, 4):
+        gray = rng.integers(0, 1 << depth, (*size, 1), dtype=np.uint8)
+
+        def packed(p, depth=depth):
+            bits = np.unpackbits(p.reshape(len(p), -1, 1), axis=2)[:, :, 8 - depth :]
+            return np.packbits(bits.reshape(len(p), -1), axis=1)
+
+        want = np.repeat(gray.astype(int) * 255 // ((1 << depth) - 1), 3, axis=2)
+        assert (media.decode(png_of([packed(gray)], size, depth, 0, 0)) == want).all() and (media.decode(png_of([packed(p) for p in adam7(gray)], size, depth, 0, 1)) == want).all()
+        colors = rng.integers(0, 256, (1 << depth, 3), dtype=np.uint8)
+        assert (media.decode(png_of([packed(gray)], size, depth, 3, 0, colors.tobytes())) == colors[gray[:, :, 0]]).all()
+    with pytest.raises(media.Undecodable):
+        media.decode(png_of(flat[:1], (20, 20), 8, 2, 1))
+
+
+def test_thumbnail_cache(spark):
+    rows = spark.createDataFrame([(f"p{i}", picture(i) if i else b"broken") for i in range(8)], "path string, content binary")
+    held = media.ThumbnailCache(5, 2)
+    first = held.batch(rows, ["p1", "p0", "p2", "p1"], 6)
+    assert first[0] == first[3] != first[2] and first[1] is None and len(held.held) == 2
+    assert held.batch(rows.filter("false"), ["p1", "p0", "p2"], 6) == [first[0], None, first[2]]  # from memory
+    assert held.batch(rows.filter("false"), ["p1"], 6, force=True) == [None] and held.batch(rows, ["p1"], 6, force=True) == first[:1]
+    held.batch(rows, [f"p{i}" for i in range(3, 8)], 6)
+    assert len(held.held) <= 5 and ("p1", 6) not in held.held and ("p7", 6) in held.held
+    made = media.thumbnails(rows, 6)
+    assert media.thumbnail_counts(made).first().asDict() == {"made": 7, "failed": 1} and made.filter("path = 'p1'").select("width", "height").first() == (6, 4)
+
+
+def test_scan_with_progress(spark, tree):
+    for i in range(9):
+        (tree / "sub" / f"d{i}" / "e").mkdir(parents=True)
+        (tree / "sub" / f"d{i}" / "e" / "x.png").write_bytes(b"x")
+    seen = []
+    rows = catalog.scan(spark, str(tree), progress=lambda found, seconds: seen.append((found, seconds)))
+    assert rows.count() == 15 == seen[-1][0] and seen == sorted(seen) and catalog.thumbnail_count(rows) == 0
+    assert len(catalog._Reader(str(tree), True).partitions()) > 9 and len(catalog._Reader(str(tree), False).partitions()) == 1
+
+
+def onnx_file(path, side: int) -> None:
+    """A model that averages each channel over (n, 3, side, side), written by hand: two nodes and their edges."""
+
+    def field(number: int, value: bytes | int) -> bytes:
+        def number_(n: int) -> bytes:
+            return bytes([n & 127 | 128]) + number_(n >> 7) if n > 127 else bytes([n])
+
+        return number_(number << 3) + number_(value) if isinstance(value, int) else number_(number << 3 | 2) + number_(len(value)) + value
+
+    def tensor(name: str, dims: list[int | str]) -> bytes:
+        shape = b"".join(field(1, field(2, d.encode()) if isinstance(d, str) else field(1, d)) for d in dims)
+        return field(1, name.encode()) + field(2, field(1, field(1, 1) + field(2, shape)))
+
+    def node(kind: str, source: str, out: str) -> bytes:
+        return field(1, field(1, source.encode()) + field(2, out.encode()) + field(4, kind.encode()))
+
+    graph = node("GlobalAveragePool", "image", "mean") + node("Flatten", "mean", "out") + field(2, b"g")
+    graph += field(11, tensor("image", ["n", 3, side, side])) + field(12, tensor("out", ["n", 3]))
+    path.write_bytes(field(1, 8) + field(7, graph) + field(8, field(2, 13)))
+
+
+def test_onnx_backend(spark, tmp_path):
+    onnx_file(tmp_path / "mean.onnx", 8)
+    images = [picture(1), picture(2)]
+    backend = embed.OnnxBackend(config.PRESETS["small"])
+    with pytest.raises(ValueError):
+        backend.load(None)
+    backend.load(str(tmp_path / "mean.onnx"))
+    assert (backend.config.height, backend.config.width) == (8, 8) and backend.info().quantization == "F32"
+    want = np.stack([media.preprocess(media.decode(x), backend.config).mean(axis=(1, 2)) for x in images])
+    assert backend.extract(images) == pytest.approx(want, abs=1e-5)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*images, b"broken"])], "id long, content binary")
+    got = {r["id"]: r for r in embed.embed(rows, embed.OnnxBackend, config.Settings(), str(tmp_path / "mean.onnx")).collect()}
+    assert got[2]["features"] is None and got[2]["error"] == "unknown format"
+    assert got[0]["features"] == pytest.approx(want[0] / np.linalg.norm(want[0]), abs=1e-5)
+
+
+def test_backends_stay_in_the_worker(monkeypatch):
+    made = []
+
+    class Counted(embed.HistogramBackend):
+        def load(self, path):
+            made.append(path)
+
+    Counted.__qualname__ = "Counted"
+    for path in ("a", "a", "b"):
+        embed.backend_for(Counted, config.PRESETS["small"], path)
+    assert made == ["a", "b"]
+    embed._MADE.clear()
+
+
+def test_model_choice(spark, tree, tmp_path, monkeypatch, capsys):
+    models = tmp_path / "models"
+    models.mkdir()
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("MOSAIQUE_MODELS", str(models))
+    engine = Engine(spark, cache_root=f"file://{tmp_path}/caches")
+    assert engine.load_model() == "tiles model loaded: none needed"
+    for wrong in (dict(backend="onnx"), dict(path="none.onnx")):
+        with pytest.raises(FileNotFoundError):
+            engine.load_model(**wrong)
+    with pytest.raises(ValueError):
+        engine.load_model("other")
+    onnx_file(models / "model.onnx", 8)
+    (models / "model_vitb16.safetensors").write_bytes(b"")
+    assert engine.load_model() == f"onnx model loaded: {models}/model.onnx" and engine.make is embed.OnnxBackend and engine.settings.model_id == "onnx:model.onnx"
+    assert engine.load_model(path=str(models / "model_vitb16.safetensors"), tier="ultra").startswith("numpy")
+    assert (engine.settings.model.hidden, engine.settings.model.height, engine.settings.tier) == (768, 224, "ultra")
+    monkeypatch.setenv("MOSAIQUE_NUMPY_MODEL", str(models / "model_vitb16.safetensors"))
+    assert engine.load_model("numpy", tier="high").endswith("vitb16.safetensors") and engine.settings.model.width == 518
+    # a model of 3 numbers instead of 384: extracted and cached, not found by the length that the name tells
+    assert cli.main(["--json", "--quiet", "--backend", "onnx", "extract", str(tree)], engine) == 0
+    assert json.loads(capsys.readouterr().out)["cache_misses"] == 6
+    assert cli.main(["--quiet", "--backend", "numpy", "--model", "none", "extract", str(tree)], engine) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["--backend", "other", "scan", str(tree)], engine)
+
+
+def test_missing_weights_are_named(spark, tmp_path):
+    c = config.ModelConfig(8, 1, 2, 16, patch=4, registers=2, height=8, width=8)
+    names = [v[0] for v in vit.NAMES.values()] + [f"{v[0].format(i=0)}.weight" for k, v in vit.LAYER_NAMES.items() if k != "qkv" and not k.startswith("scale")]
+    tensors = {n: np.zeros((1, 1), np.float32) for n in names}
+    vit.VisionTransformer(tensors, c)
+    for gone, said in ((vit.NAMES["registers"][0], "registers"), (f"{vit.LAYER_NAMES['down'][0].format(i=0)}.weight", "down.w")):
+        with pytest.raises(ValueError, match=said):
+            vit.VisionTransformer({k: v for k, v in tensors.items() if k != gone}, c)
