@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,46 @@ def throughput(items: Column, seconds: Column) -> Column:
     return items / F.greatest(seconds, F.lit(1e-9))
 
 
+def rolling_speeds(rows: DataFrame, group: str, t: str, processed: str, *ties: str) -> DataFrame:
+    """Per group the last smoothed rate of its samples in order, as of rolling_speed. Rows are sorted within tasks and
+    run through once, so a group of any size holds one state in memory."""
+    kind = rows.schema[group].dataType.simpleString()
+    slim = rows.select(F.col(group), F.col(t).cast("double"), F.col(processed).cast("double"), *ties)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended = lambda name, speed: pa.RecordBatch.from_arrays([pa.array([name], schema.field(0).type), pa.array([speed.rate])], ["name", "rate"])
+        speed, name, schema = None, None, None
+        for batch in batches:
+            schema = batch.schema
+            for g, at, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if speed is None or g != name:
+                    if speed is not None:
+                        yield ended(name, speed)
+                    speed, name = Speed(), g
+                speed.sample(at, n)
+        if speed is not None:
+            yield ended(name, speed)
+
+    dealt = slim.repartition(group).sortWithinPartitions(group, t, *ties)
+    return dealt.mapInArrow(run, f"name {kind}, rate double").withColumnRenamed("name", group)
+
+
+class Speed:
+    """A rate that follows new samples by 0.4; samples without progress or within a millisecond leave it."""
+
+    def __init__(self) -> None:
+        self.rate, self._t, self._n = 0.0, None, 0
+
+    def sample(self, t: float, processed: float) -> float:
+        if self._t is None:
+            self._t, self._n = t, processed
+        elif processed > self._n and t - self._t > 1e-3:
+            now = (processed - self._n) / (t - self._t)
+            self.rate = 0.6 * self.rate + 0.4 * now if self.rate > 0 else now
+            self._t, self._n = t, processed
+        return self.rate
+
+
 def rolling_speed(samples: Column) -> Column:
     """The last smoothed rate over an array of (t, processed), oldest first: 0.6 of the old rate and 0.4 of the
     new, the first rate as it is. Samples without progress, or within a millisecond, leave the state as it is."""

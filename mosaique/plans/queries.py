@@ -516,8 +516,7 @@ def speed_ema(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         "user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.sum("value").over(w).alias("processed")
     )
-    samples = F.array_sort(F.collect_list(F.struct("t", "event_id", "processed")))
-    return rows.groupBy("user_id").agg(samples.alias("s")).select("user_id", F.round(metrics.rolling_speed(F.col("s")), 6).alias("rate"))
+    return metrics.rolling_speeds(rows, "user_id", "t", "processed", "event_id").withColumn("rate", F.round("rate", 6))
 
 
 @query("SELECT event_id, 116444736000000000 + epoch_us(ts) * 10 AS filetime, floor(epoch_us(ts) / 1000000)::BIGINT AS modified FROM events")

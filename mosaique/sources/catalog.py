@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -163,15 +164,20 @@ def scan_binary(spark: SparkSession, root: str, recursive: bool = True) -> DataF
 
 
 def contents(entries: DataFrame, column: str = "path") -> DataFrame:
-    """entries with `content`, the bytes of each file; null where it cannot be read."""
+    """entries with `content`, the bytes of each file; null where it cannot be read. A path without a scheme, or of
+    `file:`, must be mounted where the task runs; others are URIs of a store."""
     names = entries.columns
     at = names.index(column)
 
     def read(path: str | None) -> bytes | None:
         try:
+            if "://" in path and not path.startswith("file:"):
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at) as file:
+                    return file.read()
             with open(path.removeprefix("file:"), "rb") as file:
                 return file.read()
-        except (OSError, AttributeError):
+        except (OSError, AttributeError, TypeError, pa.ArrowInvalid):
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from ..config import Settings
 from ..functions import files
 from ..operators import embed
 from ..operators.cache import FeatureCache
+from ..operators.metrics import Speed
 
 #: Fixed value: the columns that Spark's binaryFile source has.
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -39,22 +40,6 @@ class Progress:
 PROGRESS_SCHEMA = "total long, processed long, cache_hits long, cache_misses long, images_per_second double, elapsed_secs double, message string"
 
 
-class Speed:
-    """A rate that follows new samples by 0.4; samples without progress or within a millisecond leave it."""
-
-    def __init__(self) -> None:
-        self.rate, self._t, self._n = 0.0, None, 0
-
-    def sample(self, t: float, processed: int) -> float:
-        if self._t is None:
-            self._t, self._n = t, processed
-        elif processed > self._n and t - self._t > 1e-3:
-            now = (processed - self._n) / (t - self._t)
-            self.rate = 0.6 * self.rate + 0.4 * now if self.rate > 0 else now
-            self._t, self._n = t, processed
-        return self.rate
-
-
 def ingest(
     spark: SparkSession,
     folder: str,

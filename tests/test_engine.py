@@ -208,6 +208,9 @@ def test_metrics(spark):
     samples = [(0.0, 0), (1.0, 10), (1.0005, 20), (2.0, 10), (3.0, 30), (5.0, 50)]
     speed = streams.Speed()
     want = [speed.sample(*s) for s in samples][-1]
+    rows = spark.createDataFrame([(g, t, n) for t, n in samples for g in ("a", "b", None)] + [("one", 1.0, 5)], "k string, t double, n long")
+    assert {r["k"]: r["rate"] for r in metrics.rolling_speeds(rows, "k", "t", "n").collect()} == pytest.approx({"a": want, "b": want, None: want, "one": 0.0})
+    assert metrics.rolling_speeds(rows.filter("false"), "k", "t", "n").count() == 0
     arr = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(n)).alias("processed")) for t, n in samples))
     assert spark.range(1).select(metrics.rolling_speed(arr)).first()[0] == pytest.approx(want) and want == pytest.approx(10.0)
 
