@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from mosaique.llm import bpe, decontaminate, fuse_filter, language_id, token_counts, token_store, wavelet
+from mosaique.llm import bpe, decontaminate, fuse_filter, language_id, pretokens, token_counts, token_store, wavelet
 from mosaique.llm.common import fresh_path
 from mosaique.llm.tokenizer_library import Library
 
@@ -111,6 +111,17 @@ def test_words_with_equal_hashes(tik, monkeypatch, n):
             assert [np.frombuffer(x, "<u4").tolist() for x in library.ids([texts[i] for i in at])] == [want[i] for i in at]
 
 
+@pytest.mark.parametrize(("words", "size"), [(0, 48), (5, 48), (40, 3)])
+def test_full_memory_of_words(tik, monkeypatch, words, size):
+    monkeypatch.setattr(pretokens, "MEMO_WORDS", words)
+    monkeypatch.setattr(pretokens, "MEMO_BYTES", size)
+    encoder, rng = bpe.Encoder(bpe.Vocabulary.load(MULTI), public_tokenizers.PATTERN), random.Random(words)
+    for _ in range(6):
+        texts = [" ".join(rng.choice(["a", "bb", "ccc", "long-word-" * 9, "é", "x1", "Q"]) + str(rng.randrange(9)) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [tik.encode_ordinary(t) for t in texts]
+    assert encoder.memo.store.words == encoder.memo.bytes.words <= words
+
+
 def test_library_by_pieces_equals_whole():
     tokenizer = Tokenizer.from_file(JSON)
     texts = [t or "" for t in ODD]
