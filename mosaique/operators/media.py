@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -112,16 +112,16 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(pixels[::-1] if height > 0 else pixels)
 
 
-def decode(data: bytes | None) -> np.ndarray:
+def decode(data: bytes | None, wanted: Callable[[int, int], tuple[int, int]] | None = None) -> np.ndarray:
     """Pixels (height, width, RGB) by the content, whatever the name; transparency is dropped. PNG, BMP, JPEG
-    and GIF (the first frame) are read."""
+    and GIF (the first frame) are read. wanted lets a JPEG be smaller, as of readers.decode_jpeg."""
     try:
         if data and data.startswith(b"\x89PNG\r\n\x1a\n"):
             return _decode_png(data)
         if data and data.startswith(b"BM"):
             return _decode_bmp(data)
         if data and data.startswith(b"\xff\xd8\xff"):
-            return readers.decode_jpeg(data)
+            return readers.decode_jpeg(data, wanted)
         if data and data.startswith((b"GIF87a", b"GIF89a")):
             return readers.decode_gif(data)
     except (struct.error, zlib.error, ValueError, LookupError, TypeError) as error:
@@ -172,9 +172,15 @@ def thumbnail_dims(width: int, height: int, size: int) -> tuple[int, int]:
 
 
 def thumbnail(data: bytes | None, size: int, quality: int = 80) -> bytes:
-    """A JPEG that fits a square."""
-    pixels = decode(data)
-    width, height = thumbnail_dims(pixels.shape[1], pixels.shape[0], size)
+    """A JPEG that fits a square; a large JPEG is decoded at a part of its size."""
+    dims: list[tuple[int, int]] = []
+
+    def wanted(width: int, height: int) -> tuple[int, int]:
+        dims.append(thumbnail_dims(width, height, size))
+        return dims[0]
+
+    pixels = decode(data, wanted)
+    width, height = dims[0] if dims else thumbnail_dims(pixels.shape[1], pixels.shape[0], size)
     # large images are thinned first, as a full window over them would see no more
     step = max(1, min(pixels.shape[1] // (4 * width), pixels.shape[0] // (4 * height)))
     return jpeg.encode(resize(pixels[::step, ::step], height, width), quality)

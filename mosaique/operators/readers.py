@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 _ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
 _SCAN_END = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
-_K = np.arange(8)
-_COSINES = np.where(_K[:, None] == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * _K + 1) * _K[:, None] * np.pi / 16)
 
 
 def _lookup(counts: bytes, symbols: bytes) -> list[int]:
@@ -132,8 +132,18 @@ def _block(bits: _Bits, part: _Part, at: int, dc: list[int] | None, ac: list[int
     return run - 1
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """Pixels (height, width, RGB) of grey, YCbCr, RGB and CMYK images of 8 bits."""
+@lru_cache(maxsize=4)
+def _basis(side: int) -> np.ndarray:
+    """Cosines that turn the lowest frequencies of a block of 8 by 8 into one of side by side."""
+    k = np.arange(side)
+    return np.where(k[:, None] == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * k + 1) * k[:, None] * np.pi / (2 * side))
+
+
+def decode_jpeg(data: bytes, wanted: Callable[[int, int], tuple[int, int]] | None = None) -> np.ndarray:
+    """Pixels (height, width, RGB) of grey, YCbCr, RGB and CMYK images of 8 bits.
+
+    wanted tells, by an image's width and height, how many of both will do. Then the image is made at the first of an
+    eighth, a quarter and half of its size that has as many, from the lowest frequencies of each block alone."""
     tables, codes, parts, every, adobe, at = {}, {}, {}, 0, None, 2
     width = height = 0
     while at + 4 <= len(data):
@@ -207,13 +217,18 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                         run = _block(bits, p, place, d, a, (start, end, bit >> 4, bit & 15), run)
     if not parts:
         raise ValueError("no image in JPEG")
-    planes = []
+    least = wanted(width, height) if wanted else (width, height)
+    side = next((k for k in (1, 2, 4) if -(-width * k // 8) >= least[0] and -(-height * k // 8) >= least[1]), 8)
+    height, width, planes = -(-height * side // 8), -(-width * side // 8), []
     for p in parts.values():
+        own = min(8, side * min(across // p.h, down // p.v))  # what has fewer samples keeps more of them
+        basis = _basis(own)
         quant = np.zeros(64)
         quant[_ZIGZAG] = tables[p.table]
         values = (np.array(p.values, dtype=np.float64).reshape(-1, 64) * quant).reshape(-1, 8, 8)
-        plane = (_COSINES.T @ values @ _COSINES).reshape(p.lines, p.columns, 8, 8).transpose(0, 2, 1, 3).reshape(p.lines * 8, p.columns * 8) + 128
-        y, x = np.arange(height) * p.v // down, np.arange(width) * p.h // across
+        blocks = (basis.T @ values[:, :own, :own] @ basis).reshape(p.lines, p.columns, own, own)
+        plane = blocks.transpose(0, 2, 1, 3).reshape(p.lines * own, p.columns * own) + 128
+        y, x = np.arange(height) * p.v * own // (down * side), np.arange(width) * p.h * own // (across * side)
         planes.append(plane[y][:, x])
     if len(planes) == 1:
         planes *= 3

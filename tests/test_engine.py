@@ -394,6 +394,15 @@ def test_real_jpeg_and_gif(spark, engine, photos):
         assert np.abs(found - want).mean() < (1e-9 if r["path"].endswith(".gif") else 3), r["path"]
     with pytest.raises(media.Undecodable):
         media.decode((folder / "prog.jpg").read_bytes()[:300])
+    for name in ("_base.jpg", "prog.jpg"):
+        data = (folder / name).read_bytes()
+        whole = media.decode(data).astype(float)
+        for least, step in (((8, 6), 8), ((9, 6), 4), ((16, 12), 4), ((31, 23), 2), ((32, 23), 1), ((99, 99), 1)):
+            small = media.decode(data, lambda width, height, least=least: least)
+            assert small.shape == (-(-45 // step), -(-61 // step), 3)
+            mean = whole[: 45 // step * step, : 61 // step * step].reshape(45 // step, step, 61 // step, step, 3).mean(axis=(1, 3))
+            assert np.abs(small[: 45 // step, : 61 // step] - mean).mean() < 4
+        assert jpeg.dimensions(media.thumbnail(data, 7)) == (7, 5) == media.thumbnail_dims(61, 45, 7)
     got = engine.extract(str(folder))
     assert got.failed == 0 and got.rows.count() == 3
     assert engine.similar(str(folder / "_base.jpg"), str(folder), 0.9).count() == 2
