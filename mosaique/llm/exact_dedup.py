@@ -88,10 +88,15 @@ def _digest(text: str) -> Column:
     return F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("digest")
 
 
+def text_hash(text: str) -> Column:
+    """Tells the texts of rows with one key apart: a 64-bit hash and the number of bytes."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row_key and digest (SHA-256 of the normalised text) of each row, written once."""
-    rows = _rows(docs, key, text)
-    return stored(rows.select("row_key", _digest("row_text")), "digests")
+    """row_key, digest (SHA-256 of the normalised text) and text_hash of each row, written once."""
+    rows = docs.select(F.col(key).alias("row_key"), normalised(text).alias("row_text"), text_hash(text).alias("text_hash"))
+    return stored(rows.select("row_key", _digest("row_text"), "text_hash"), "digests")
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame, keep: str, name: str) -> DataFrame:
@@ -113,10 +118,10 @@ def against(groups: DataFrame, docs: DataFrame, snapshot: Snapshot) -> DataFrame
     return pairs.join(same, "digest", "left_semi").select("digest", "old_keep", "old_size")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hashes: bool = False) -> DataFrame:
     """Dedups a table as two batches: the rows of the lower half of the span of keys become the snapshot, the
     others come in against it; keys that are no whole numbers are halved by a hash. Per row: the key, keep_id,
-    group_size, kept and text_sha256.
+    group_size, kept and text_sha256; with hashes also text_hash (of the text as it is).
 
     Of equal normalised texts the row of the smallest key stays, in whichever batch it is. Null
     texts count as empty. A null key is never the one that stays unless all keys of its group are null; then
@@ -145,4 +150,5 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.col("size").alias("group_size"),
         F.col("row_key").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["text_hash"] if hashes else []),
     )
