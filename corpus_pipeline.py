@@ -34,9 +34,9 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts the one of the smallest doc_id stays; all of them if none has any."""
-    found = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_key"), F.unhex("text_sha256").alias("_digest")).distinct()
-    rows = docs.withColumn("_text", F.unhex(F.sha2(exact_dedup.normalised("text").cast("binary"), 256)))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_digest")), "left_semi").select(*COLUMNS)
+    found = exact_dedup.exact_dedup(docs, hashes=True).filter("kept").select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.withColumn("_text", exact_dedup.text_hash("text"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_key")) & F.col("_text").eqNullSafe(F.col("_hash")), "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
