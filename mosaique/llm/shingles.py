@@ -20,6 +20,8 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 #: The prime, and the points at which the two polynomials are taken.
 _PRIME, _POINTS = np.uint64((1 << 31) - 1), (np.uint64(1_583_458_089), np.uint64(784_588_717))
+#: Masks of the first bytes of a number, three at most.
+_FIRST_BYTES = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], dtype=np.uint32)
 #: Words of more bytes are long.
 LONG_WORD = 96
 
@@ -38,7 +40,7 @@ def word_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     at, left = at[live], left[live]
     while len(live):
         value = threes[at].view("<u4").ravel()
-        value &= np.where(left >= 3, np.uint32(0xFFFFFF), (np.uint32(1) << (left * 8).astype(np.uint32)) - np.uint32(1))
+        value &= _FIRST_BYTES[np.minimum(left, 3)]
         for held, point in zip(sums, _POINTS, strict=True):
             x = held[live] * point + value
             x = (x & _PRIME) + (x >> np.uint64(31))
@@ -52,6 +54,14 @@ def word_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     return out
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """In order, each once; as np.unique, but quicker for few."""
+    values = np.sort(values)
+    keep = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """For each text its sorted distinct shingle hashes. A text with fewer words has its whole sequence as one
     shingle; without words it has none."""
@@ -72,7 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(code[a : b - words + 1]))
+            out.append(_distinct(code[a : b - words + 1]))
         elif b > a:
             whole = np.uint64(b - a)
             with np.errstate(over="ignore"):
