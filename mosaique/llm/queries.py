@@ -161,6 +161,18 @@ SQL: dict[str, str] = {
         SELECT g.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, g.doc_id = component_id AS kept
         FROM g LEFT JOIN n USING (doc_id)
     """,
+    # in these tables the main text is that of an article of p, h1, br and b, with two kinds of references
+    "op6_html_extract": """
+        WITH a AS (
+            SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1|br)>') AS parts FROM pages
+        ), t AS (
+            SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x:
+                trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '</?[a-zA-Z][^>]*(?:>|$)', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))),
+                lambda x: x <> ''), ' ') AS text
+            FROM a
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM t
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
