@@ -161,6 +161,55 @@ SQL: dict[str, str] = {
         SELECT g.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, g.doc_id = component_id AS kept
         FROM g LEFT JOIN n USING (doc_id)
     """,
+    # the least capacity by binary search, one greedy step in each row of search; then how many shards each end needs
+    "op5_sharding": """
+        WITH RECURSIVE bits AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+        ), docs AS (
+            SELECT doc_id, coalesce(text, '') AS body, strlen(coalesce(text, '')) + 8 AS size, sha256(coalesce(text, '')) AS digest FROM documents
+        ), grouped AS (
+            SELECT digest, min(doc_id) AS first_key, sum(size) AS bytes FROM docs GROUP BY digest
+        ), ends AS MATERIALIZED (
+            SELECT digest, first_key, sum(bytes) OVER (ORDER BY first_key, digest)::BIGINT AS stop FROM grouped
+        ), t AS (
+            SELECT sum(bytes)::BIGINT AS total, max(bytes)::BIGINT AS largest FROM grouped
+        ), search AS (
+            SELECT greatest((total + 23) // 24, largest) AS lo, (total + 23) // 24 + largest AS hi,
+                (greatest((total + 23) // 24, largest) + (total + 23) // 24 + largest) // 2 AS mid, 0::BIGINT AS pos, 0 AS used, total FROM t
+            UNION ALL
+            SELECT CASE WHEN bad THEN mid + 1 ELSE lo END, CASE WHEN good THEN mid ELSE hi END,
+                CASE WHEN bad THEN (mid + 1 + hi) // 2 WHEN good THEN (lo + mid) // 2 ELSE mid END,
+                CASE WHEN bad OR good THEN 0 ELSE stop END, CASE WHEN bad OR good THEN 0 ELSE used + 1 END, total
+            FROM (
+                SELECT s.*, coalesce(e.stop, 0) AS stop, s.pos >= s.total AS good, s.pos < s.total AND (s.used = 24 OR coalesce(e.stop, 0) <= s.pos) AS bad
+                FROM search s ASOF LEFT JOIN ends e ON s.pos + s.mid >= e.stop WHERE s.lo < s.hi)
+        ), cap AS (
+            SELECT min(lo) AS c FROM search WHERE lo >= hi
+        ), hops AS MATERIALIZED (
+            SELECT a.stop, b.stop AS next FROM (SELECT stop, stop + c AS reach FROM ends, cap) a ASOF JOIN ends b ON a.reach >= b.stop
+        ), needs AS (
+            SELECT total AS stop, 0 AS n FROM t
+            UNION ALL
+            SELECT h.stop, n + 1 FROM needs JOIN hops h ON h.next = needs.stop WHERE h.stop < needs.stop AND n < 24
+        ), cuts AS (
+            SELECT 24 AS remaining, 0::BIGINT AS start, total, c FROM t, cap
+            UNION ALL
+            SELECT remaining - 1, CASE WHEN start < y.stop AND y.stop <= start + c AND n.n <= remaining - 1 THEN y.stop ELSE furthest END, total, c
+            FROM (
+                SELECT x.*, CASE WHEN above - target < target - below OR below <= start THEN above ELSE below END AS stop FROM (
+                    SELECT s.*, coalesce(lo.stop, 0) AS below, coalesce(up.stop, s.total) AS above, coalesce(far.stop, 0) AS furthest
+                    FROM (SELECT *, start + (total - start + remaining - 1) // remaining AS target FROM cuts WHERE remaining > 1) s
+                    ASOF LEFT JOIN ends lo ON s.target >= lo.stop ASOF LEFT JOIN ends up ON s.target < up.stop ASOF LEFT JOIN ends far ON s.start + s.c >= far.stop) x) y
+            LEFT JOIN needs n ON n.stop = y.stop
+        ), placed AS (
+            SELECT d.doc_id, d.body, d.size, e.first_key, e.digest, (SELECT count(*) FROM cuts WHERE remaining < 24 AND start < e.stop) AS shard
+            FROM docs d JOIN ends e USING (digest)
+        )
+        SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 8), lambda i: ('0x' || substr(hex(encode(body)), 2 * i + 1, 2))::BIGINT)),
+            lambda c, b: xor(c // 256, bits.crc[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32,
+            'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY first_key, digest, doc_id) - 1 AS slot, NULL::INT AS grown_shard
+        FROM placed, bits
+    """,
     # in these tables the main text is that of an article of p, h1, br and b, with two kinds of references
     "op6_html_extract": """
         WITH a AS (

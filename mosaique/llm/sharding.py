@@ -126,14 +126,21 @@ def smallest_capacity(ends: Ends, total: int, largest: int, shards: int) -> int:
 
 def cut_points(ends: Ends, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
     """The smallest capacity, and the last byte of each shard but the last. Within the capacity, each shard ends
-    as near as can be to an even share of what is left, if the rest surely fits; else where the capacity does."""
+    as near as can be to an even share of what is left, if the rest then fits the shards left; else where the capacity
+    does."""
     capacity = smallest_capacity(ends, total, largest, shards)
     cuts, start = [], 0
+
+    def rest_fits(end: int, left: int) -> bool:
+        if _needed(end, capacity, total, lambda v: ends.bounds(v)[0], left) <= left:
+            return True
+        return _needed(end, capacity, total, lambda v: ends.bounds(v)[1], left) <= left and _needed(end, capacity, total, ends.floor, left) <= left
+
     for left in range(shards, 1, -1):
         target = start + -(-(total - start) // left)
         below, above = ends.floor(target), ends.after(target)
         end = above if above - target < target - below or below <= start else below
-        fits = start < end <= start + capacity and _needed(end, capacity, total, lambda v: ends.bounds(v)[0], left - 1) <= left - 1
+        fits = start < end <= start + capacity and rest_fits(end, left - 1)
         start = end if fits else ends.floor(start + capacity)
         cuts.append(start)
     return capacity, cuts
