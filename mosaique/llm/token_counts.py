@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, pieces_of, utf8_view
+from .common import exists, joined_to_groups, pieces_of, stored, utf8_view
 from .tokenizer_library import Library, tokenizer_version
 
 CHUNK_BYTES = 8 << 20
@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, key: str = "doc_id
     path is a tokenizers or sentencepiece file that every executor sees; cache_path a folder of Parquet files in
     a store that all share. A null text counts as empty. Repeated rows stay repeated. Texts are encoded whole.
     Copies are folded within each task before they are shuffled, so a text with very many copies is one row for
-    each task; the join back is on digests only, where adaptive execution splits a skewed side."""
+    each task; the join back is on digests only, by broadcast for the texts with most copies."""
     tokenizer = tokenizer_version(path)
     content = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), content.alias("content"))
@@ -54,6 +54,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, key: str = "doc_id
     if exists(docs.sparkSession, cache_path):
         distinct = distinct.join(cached_counts(docs, cache_path, tokenizer).select("content"), "content", "left_anti")
     _counted(distinct.select("content", "_text"), path, tokenizer).write.mode("append").parquet(cache_path)
-    counts = cached_counts(docs, cache_path, tokenizer)
-    sized = rows.select("_key", F.octet_length("_text").cast("long").alias("n_bytes"), "content")
-    return sized.join(counts, "content").select(F.col("_key").alias(key), "n_bytes", "n_tokens")
+    sized = stored(rows.select("_key", F.octet_length("_text").cast("long").alias("n_bytes"), "content"), "sized")
+    copies = sized.groupBy("content").agg(F.count(F.lit(1)).alias("_copies"))
+    counts = stored(copies.join(cached_counts(docs, cache_path, tokenizer), "content"), "counts")
+    return joined_to_groups(sized, counts, "content", "_copies", sized.count()).select(F.col("_key").alias(key), "n_bytes", "n_tokens")
