@@ -119,10 +119,13 @@ class CatalogSource(DataSource):
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True, progress: Callable[[int, float], None] | None = None) -> DataFrame:
-    """The catalog in order of file_name, then path.
+    """The catalog in order of file_name, then path. A root with a scheme other than `file:` is one of a store, which
+    Spark lists.
 
     With progress the folder is listed at once, a part at a time, and progress is called with the number of files
     found so far and the seconds: every quarter of a second at most, and at the end."""
+    if "://" in root and not root.startswith("file:"):
+        return scan_binary(spark, root, recursive)
     if not os.path.exists(root):
         raise NotAFolder(f"folder does not exist: {root}")
     if not os.path.isdir(root):
@@ -151,7 +154,8 @@ def thumbnail_count(entries: DataFrame) -> int:
 def scan_binary(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """The catalog by Spark's binaryFile source; only names, lengths and times are read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").load(root)
-    relative = F.expr(f"substring(path, instr(path, '{root.rstrip('/')}') + {len(root.rstrip('/'))})")
+    top = root.rstrip("/")
+    relative = F.substr(F.col("path"), F.instr(F.col("path"), top) + F.lit(len(top)))
     kept = rows.select("path", "length", "modificationTime").filter(files.is_image(F.col("path")) & ~files.is_hidden(relative))
     return kept.select(
         "path",

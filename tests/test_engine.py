@@ -52,6 +52,8 @@ def test_catalog_rules(spark, tree):
     assert (row["file_size"], row["filetime"]) == catalog.file_identity(str(tree / "B.PNG")) and row["thumbnail"] is None
     assert row["modified"] == int(os.stat(tree / "B.PNG").st_mtime)
     assert set(names(catalog.scan_binary(spark, f"file:{tree}"), tree)) == {"B.PNG", "a.jpg", "link.jpg", "sub/a.jpg", "sub/c.webp"}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.photos.link./it's", f"file://{tree}")
+    assert sorted(r["file_name"] for r in catalog.scan(spark, "viewfs://photos/it's").collect()) == ["B.PNG", "a.jpg", "a.jpg", "c.webp", "link.jpg"]
     with pytest.raises(catalog.NotAFolder):
         catalog.scan(spark, str(tree / "none"))
     with pytest.raises(catalog.NotAFolder):
