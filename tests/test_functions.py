@@ -28,7 +28,7 @@ def test_normalise_and_dot(spark):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.floats(-100, 100), min_size=1, max_size=8))
 def test_norm_equals_numpy(spark, v):
-    row = one(spark, vector.norm(lit(v)), vector.max_abs_difference(lit(v), lit(v[::-1])), vector.dot_literal(lit(v), v))
+    row = one(spark, vector.norm(lit(v)), vector.max_abs_difference(lit(v), lit(v[::-1])), vector.dot(lit(v), lit(v)))
     assert row[0] == pytest.approx(float(np.linalg.norm(v)), abs=1e-9)
     assert row[1] == pytest.approx(float(np.abs(np.array(v) - np.array(v[::-1])).max()))
     assert row[2] == pytest.approx(float(np.dot(v, v)))
