@@ -139,6 +139,16 @@ def test_cells_hold_bounded_blocks_and_every_pair(spark):
     assert dict(met) == dict.fromkeys(want, 1)
 
 
+def test_what_is_known_of_groups_is_never_broadcast(spark):
+    rows = spark.range(400).selectExpr("id % 3 AS key", "id AS node")
+    known = spark.createDataFrame([(0, "a"), (1, "b")], "key long, what string")
+    found = near_dedup._spread(rows, known, "key", "node")
+    got = sorted(tuple(r) for r in found.select("key", "node", "what").collect())
+    assert got == sorted((i % 3, i, "ab"[i % 3]) for i in range(400) if i % 3 < 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()  # a row is SALTS rows there, which Spark's estimate lacks
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_recall_of_tables_and_sift():
     """Pairs at the threshold and a little above: the tables and the sift keep all but a few in ten thousand."""
     import numpy as np
