@@ -1,7 +1,7 @@
 """Exact vector search: one query against a folder, and the best match of each target over all sources.
 
 A folder is a DataFrame with `path`, `file_name` and `features`. Products run in numpy, a batch of rows at a time
-(`gemm`), or as expressions (`sql`); both give the same rows.
+(`gemm`), or as expressions (`sql`, while pairs are few); both give the same rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from ..storage import stored
 SOURCE_BYTES = 64 << 20
 #: Rows of a product that are computed together.
 ROWS = 2048
+#: Pairs that best_matches_sql lists, at most.
+SQL_PAIRS = 1 << 22
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +154,16 @@ def best_matches(sources: DataFrame, targets: DataFrame, dim: int | None = None)
 
 
 def best_matches_sql(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """The same as expressions: the definition that best_matches is tested against. For small folders only."""
+    """The same as expressions: the definition that best_matches is tested against. A pair is a row there, so over
+    SQL_PAIRS pairs the products come from best_matches."""
     first = sources.select(F.min_by(F.size("features"), F.struct(F.coalesce("file_name", F.lit("")), F.coalesce("path", F.lit("")))).alias("n")).first()["n"] or 0
-    left = targets.filter(F.size("features") == first).select("path", "file_name", vector.l2_normalize(F.col("features")).alias("t"))
-    right = sources.filter(F.size("features") == first).select(vector.l2_normalize(F.col("features")).alias("s"))
+    targets, sources = (rows.filter(F.size("features") == first) for rows in (targets, sources))
+    if targets.count() * sources.count() > SQL_PAIRS:
+        return best_matches(sources, targets, first).groupBy("path", "file_name").agg(F.max("best").alias("best"))
+    left = targets.select("path", "file_name", vector.l2_normalize(F.col("features")).alias("t"))
+    right = sources.select(vector.l2_normalize(F.col("features")).alias("s"))
     sim = F.nanvl(vector.dot(F.col("t"), F.col("s")), F.lit(float("-inf")))
-    pairs = left.join(right, F.size("t") == F.size("s")).select("path", "file_name", sim.alias("sim"))
+    pairs = left.crossJoin(right).select("path", "file_name", sim.alias("sim"))
     return pairs.groupBy("path", "file_name").agg(F.max("sim").alias("best"))
 
 

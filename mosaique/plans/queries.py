@@ -125,7 +125,7 @@ def compare_gemm(spark, sf_dir):
 
 @query(_COMPARE)
 def compare_best_match(spark, sf_dir):
-    """The definition as expressions."""
+    """The definition as expressions, while pairs are few enough to be rows."""
     return _compared(spark, sf_dir, "label < 5", "label >= 5", COMPARE, "sql")
 
 

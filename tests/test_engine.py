@@ -127,6 +127,17 @@ def test_compare_equals_brute_force(spark, monkeypatch, small_blocks):
     assert {r["path"]: r["best"] for r in small.collect()} == pytest.approx({f"{i:03d}": v for i, v in enumerate((targets[:11] @ sources[:9].T).max(axis=1))}, abs=1e-4)
 
 
+def test_many_pairs_are_not_listed(spark):
+    rng = np.random.default_rng(5)
+    sources, targets = unit(rng, 2100, 8), unit(rng, 2101, 8)
+    twice = folder(spark, targets).unionByName(folder(spark, targets[:3]))  # rows of one name are one target
+    best = similarity.best_matches_sql(folder(spark, sources), twice)
+    assert "Join" not in best._jdf.queryExecution().executedPlan().toString()
+    got = best.collect()
+    assert len(got) == 2101
+    assert {r["path"]: r["best"] for r in got} == pytest.approx({f"{i:03d}": v for i, v in enumerate((targets @ sources.T).max(axis=1))}, abs=1e-4)
+
+
 def test_compare_edges(spark):
     a = folder(spark, [[1, 0, 0], [0, 1, 0]])
     assert [r["best_similarity"] for r in similarity.compare(a, folder(spark, [[1, 0, 0]], "t")).collect()] == [1.0]
